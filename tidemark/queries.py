@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import storage
-from tidemark.operators import grid, incremental, late, rolling, small_files
+from tidemark.operators import grid, incremental, late, rolling, small_files, spikes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,6 +96,11 @@ SELECT series, strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS
  t30 AS total_30d, CASE WHEN n30 > 0 THEN t30 / n30 END AS avg_30d, n30 AS points_30d FROM w"""
 
 
+@query
+def p4_found(spark, d):
+    return spikes.implausible(spikes.scored_readings(table(spark, d, "points"), table(spark, d, "series_catalog")))
+
+
 @query
 def p5_found(spark, d):
     made = grid.regular_grid(table(spark, d, "points"), table(spark, d, "series_catalog"))
