@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.functions.clean import clean_points, floor_div, is_finite
 
 SHARD_SLOTS = 4096  #: slots of one series in a shard
@@ -28,7 +29,7 @@ def steps(catalog: DataFrame) -> DataFrame:
 
 
 def slot_readings(points: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per series and slot with a finite reading: ``series, step, slot, first_ts, last_ts, last_value``.
+    """One row per series and slot with a finite reading: ``series, slot, first_ts, last_ts, last_value``.
 
     All aggregates are unchanged by repeated rows, so none has to be removed, and each is combined before the
     shuffle: what a hot series sends is one row per slot and task.
@@ -36,19 +37,18 @@ def slot_readings(points: DataFrame, catalog: DataFrame) -> DataFrame:
     readings = clean_points(points).where(is_finite(F.col("value"))).join(steps(catalog), "series")
     order = F.struct("ts", F.coalesce("seq", F.lit(-(2**63))), "value")
     return (
-        readings.groupBy("series", "step", floor_div(F.col("ts"), F.col("step")).alias("slot"))
+        readings.groupBy("series", floor_div(F.col("ts"), F.col("step")).alias("slot"))
         .agg(F.min("ts").alias("first_ts"), F.max(order).alias("last"))
-        .select("series", "step", "slot", "first_ts", F.col("last.ts").alias("last_ts"), F.col("last.value").alias("last_value"))
+        .select("series", "slot", "first_ts", F.col("last.ts").alias("last_ts"), F.col("last.value").alias("last_value"))
     )
 
 
 def _carried(summary: DataFrame) -> DataFrame:
-    """Prefix scan over shard summaries in two levels: the reading before and the one after each shard."""
-    block = floor_div(F.col("shard"), BLOCK_SHARDS)
-    s = summary.withColumn("block", block)
+    """Prefix scan over shard summaries in two levels: ``before`` and ``after``, the readings on both sides of a shard."""
+    s = summary.withColumn("block", floor_div(F.col("shard"), BLOCK_SHARDS))
     inside = Window.partitionBy("series", "block").orderBy("shard")
     s = s.withColumns({"before": F.lag("tail").over(inside), "after": F.lead("head").over(inside)})
-    blocks = s.groupBy("series", "block").agg(
+    blocks = summary.withColumn("block", floor_div(F.col("shard"), BLOCK_SHARDS)).groupBy("series", "block").agg(
         F.min_by("head", "shard").alias("block_head"), F.max_by("tail", "shard").alias("block_tail")
     )
     over = Window.partitionBy("series").orderBy("block")
@@ -76,38 +76,39 @@ def regular_grid(points: DataFrame, catalog: DataFrame, max_gap_days: int | None
     values are no readings. Rows without series or ts, and series without a positive step in the
     catalog, have no grid and are left out. Empty tables give an empty result. Further columns are ignored.
     """
-    rows = slot_readings(points, catalog).withColumn("shard", floor_div(F.col("slot"), SHARD_SLOTS))
+    # staged, since the rows feed both the summaries and the fill
+    rows = storage.staged(slot_readings(points, catalog).withColumn("shard", floor_div(F.col("slot"), SHARD_SLOTS)), "slots")
     reading = F.struct("slot", "first_ts", "last_ts", "last_value")
-    rows = rows.withColumn("r", reading)
-    summary = rows.groupBy("series", "shard").agg(F.min("r").alias("head"), F.max("r").alias("tail"))
-    rows = rows.join(_carried(summary), ["series", "shard"])
+    summary = rows.groupBy("series", "shard").agg(F.min(reading).alias("head"), F.max(reading).alias("tail"))
+    carried = _carried(storage.staged(summary, "shards")).select(
+        "series", "shard", F.col("after.slot").alias("after_slot"), F.col("after.first_ts").alias("after_ts")
+    )
     inside = Window.partitionBy("series", "shard").orderBy("slot")
-    rows = rows.select(
-        "series", "step", "slot", "shard", "last_ts", "last_value",
-        F.coalesce(F.lead("r").over(inside), F.col("after")).alias("next"),
-    )
-    observed = rows.select(
-        "series", "step", "slot", F.lit("observed").alias("state"), F.col("last_value").alias("value"),
-        F.col("last_value").alias("carried"), F.col("last_ts").alias("prev_ts"), F.col("last_ts").alias("next_ts"),
-    )
-    gap = rows.where(F.col("next.slot") > F.col("slot") + 1)
-    if max_gap_days is not None:
-        gap = gap.where(F.col("next.first_ts") - F.col("last_ts") <= F.lit(max_gap_days * 86400 * 10**9))
-    gap = gap.select(
-        "series", "step", F.col("last_value").alias("carried"), F.col("last_ts").alias("prev_ts"),
-        F.col("next.first_ts").alias("next_ts"), (F.col("slot") + 1).alias("lo"), (F.col("next.slot") - 1).alias("hi"),
+    rows = rows.join(carried, ["series", "shard"]).select(
+        "series", F.col("slot").alias("from_slot"), "last_ts", "last_value",
+        F.coalesce(F.lead("slot").over(inside), F.col("after_slot")).alias("next_slot"),
+        F.coalesce(F.lead("first_ts").over(inside), F.col("after_ts")).alias("next_ts"),
     )
-    # a gap is cut at the borders of the shards, so that no array holds more slots than a shard
-    first, last = floor_div(F.col("lo"), SHARD_SLOTS), floor_div(F.col("hi"), SHARD_SLOTS)
-    pieces = gap.withColumn("shard", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("lo"), F.col("shard") * SHARD_SLOTS)
-    hi = F.least(F.col("hi"), F.col("shard") * SHARD_SLOTS + (SHARD_SLOTS - 1))
-    missing = pieces.select(
-        "series", "step", F.explode(F.sequence(lo, hi)).alias("slot"), F.lit("missing").alias("state"),
-        F.lit(None).cast("double").alias("value"), "carried", "prev_ts", "next_ts",
-    )
-    return observed.unionByName(missing).select(
-        "series", (F.col("slot") * F.col("step")).alias("slot_start"), "state", "value", "carried", "prev_ts", "next_ts"
+    rows = rows.join(steps(catalog), "series")
+    near = F.lit(True) if max_gap_days is None else F.col("next_ts") - F.col("last_ts") <= F.lit(max_gap_days * 86400 * 10**9)
+    until = F.when(near, F.col("next_slot") - 1).otherwise(F.col("from_slot"))
+    rows = rows.withColumn("until", F.coalesce(until, F.col("from_slot")))
+    # a reading fills its own slot and the gap after it; gaps are cut at the borders of the shards, so that no array holds
+    # more slots than a shard
+    first, last = floor_div(F.col("from_slot"), SHARD_SLOTS), floor_div(F.col("until"), SHARD_SLOTS)
+    pieces = rows.withColumn("shard", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("from_slot"), F.col("shard") * SHARD_SLOTS)
+    hi = F.least(F.col("until"), F.col("shard") * SHARD_SLOTS + (SHARD_SLOTS - 1))
+    slots = pieces.withColumn("slot", F.explode(F.sequence(lo, hi)))
+    seen = F.col("slot") == F.col("from_slot")
+    return slots.select(
+        "series",
+        (F.col("slot") * F.col("step")).alias("slot_start"),
+        F.when(seen, "observed").otherwise("missing").alias("state"),
+        F.when(seen, F.col("last_value")).alias("value"),
+        F.col("last_value").alias("carried"),
+        F.col("last_ts").alias("prev_ts"),
+        F.when(seen, F.col("last_ts")).otherwise(F.col("next_ts")).alias("next_ts"),
     )
 
 
