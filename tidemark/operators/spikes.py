@@ -6,33 +6,42 @@ the length of the run of equal values it belongs to against the runs the source
 source scores every reading. What it finds unusual is then checked exactly, and explicit rules
 flag values that are not finite or beyond the physical limits.
 
-Scale. A source is cut into shards of about ``SHARD_ROWS`` readings at quantiles of its times, so a hot source is many tasks.
-Neighbouring shards exchange their ``HALO`` outermost readings; runs that cross borders are put together from the
-pieces at the ends of the shards. Features are rounded to ``LEVELS`` steps each and packed into one code, so the forest
-of a source is grown and evaluated on its distinct codes, weighted by how often all its runs have them: its input stays
+Scale. A source is cut into blocks of about ``BLOCK_ROWS`` readings at quantiles of its times, so a hot source is many
+tasks. After the one shuffle that brings a block together it is a single row with arrays of ordered readings; all later
+passes run over these rows without moving them, and only summaries are gathered per source: histograms, the ``HALO``
+outermost readings that neighbours need of each other, and the runs at the ends of the blocks, from which runs that cross
+borders are put together. Features are rounded to ``LEVELS`` steps each and packed into one code, so the forest of a
+source is grown and evaluated on its distinct codes, weighted by how many of all its runs have them: its input stays
 small however many readings there are, and nothing is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import storage
-from tidemark.functions.clean import NS_PER_HOUR, clean_points, floor_div, is_finite
+from tidemark.functions.clean import NS_PER_HOUR, clean_points
 
-SHARD_ROWS = 20_000
-MOST_SHARDS = 10_000  #: quantiles that the sketch of a source's times can tell apart
-HALO = 24  #: readings exchanged between neighbouring shards
-BURST = 3  #: times of reading that a spike lasts at most
+BLOCK_ROWS = 20_000
+MOST_BLOCKS = 10_000  #: of a source; beyond ``BLOCK_ROWS`` times this, blocks grow
+HALO = 24  #: readings exchanged between neighbouring blocks
+BURST = 3  #: readings that a spike lasts at most
 SPIKE = 5.5  #: departure of a spike, in units of the source's median change
 SAME = 0.01  #: changes below this share of the median change are none
 LEVELS = 32  #: steps of a rounded feature
 SHORTEST = 6  #: readings in a stuck run at least
 FAR_LONGER = 3.0  #: a stuck run is so many times as long as the source's long runs
 TREES, SAMPLE, DEPTH = 50, 128, 7  #: of an isolation forest; SAMPLE is drawn for each tree from all weighted codes
+BROADCAST_BYTES = 32 << 20  #: summaries up to this size are sent to all executors, larger ones are joined by shuffle
+BLOCKS_AT_A_TIME = 8  #: blocks in an Arrow batch
+
+NOT_FINITE, LIMIT, JUMPS, STARTS = 1, 2, 4, 8  #: flags of a reading
 
 
 def limits(catalog: DataFrame) -> DataFrame:
@@ -43,51 +52,115 @@ def limits(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _sharded(points: DataFrame) -> DataFrame:
-    """Readings with the number of their shard, split at quantiles of the source's times."""
-    counts = points.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    parts = min(MOST_SHARDS, -(-largest // SHARD_ROWS))
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Few rows to an Arrow batch while rows hold whole blocks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BLOCKS_AT_A_TIME))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _with(blocks: DataFrame, summary: DataFrame, rows: int, bytes_each: int, on: list[str]) -> DataFrame:
+    """Join a staged summary to the blocks, by broadcast if ``rows`` of ``bytes_each`` are few enough."""
+    return blocks.join(F.broadcast(summary) if rows * bytes_each <= BROADCAST_BYTES else summary, on)
+
+
+def _cut(points: DataFrame, sources: DataFrame, largest: int) -> DataFrame:
+    """``source, block, ts, seq, value``: readings with the number of their source and block."""
+    parts = min(MOST_BLOCKS, -(-largest // BLOCK_ROWS))
+    rows = points.join(sources, "series")
     if parts < 2:
-        return points.withColumn("shard", F.lit(0))
-    # only sources of more than one shard need quantiles; the list of them is one row per such source
-    split = counts.where(F.col("n") > SHARD_ROWS)
-    own = F.least(F.lit(parts), F.ceil(F.col("n") / SHARD_ROWS)).cast("int")
+        return rows.select("source", F.lit(0).alias("block"), "ts", "seq", "value")
+    # only sources of more than one block need quantiles; one row for each, made from sketches that merge
+    own = F.least(F.lit(parts), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
     share = [k / parts for k in range(1, parts)]
-    cuts = (
-        points.join(split, "series")
-        .groupBy("series", "n")
-        .agg(F.percentile_approx("ts", share, max(10_000, 10 * parts)).alias("q"))
-        .select(
-            "series",
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), own - 1), lambda k: F.element_at("q", F.greatest(F.lit(1), F.round(k * parts / own).cast("int"))))
-            ).alias("cuts"),
-        )
+    cuts = rows.where(F.col("n") > BLOCK_ROWS).groupBy("source", "n").agg(
+        F.percentile_approx("ts", share, max(10_000, 10 * parts)).alias("q")
     )
-    shard = F.coalesce(F.aggregate("cuts", F.lit(0), lambda s, c: s + F.when(c <= F.col("ts"), 1).otherwise(0)), F.lit(0))
-    return points.join(cuts, "series", "left").withColumn("shard", shard).drop("cuts")
+    place = lambda k: F.greatest(F.lit(1), F.round(k * parts / own).cast("int"))
+    cuts = storage.staged(
+        cuts.select("source", F.array_distinct(F.transform(F.sequence(F.lit(1), own - 1), lambda k: F.element_at("q", place(k)))).alias("cuts")),
+        "cuts",
+    )
+    block = F.aggregate("cuts", F.lit(0), lambda s, c: s + F.when(c <= F.col("ts"), 1).otherwise(0))
+    return rows.join(cuts, "source", "left").select("source", F.coalesce(block, F.lit(0)).alias("block"), "ts", "seq", "value")
 
 
-def _noise(rows: DataFrame) -> DataFrame:
-    """``series, noise``: the median of the changes that are changes, from a histogram in steps of a sixteenth octave."""
-    h = rows.where(F.col("change") > 1e-9).groupBy("series", F.floor(F.log2("change") * 16).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("series")
-    h = h.withColumns({"upto": F.sum("n").over(w.orderBy("b")), "all": F.sum("n").over(w)})
-    return h.where(F.col("upto") * 2 >= F.col("all")).groupBy("series").agg(F.pow(F.lit(2.0), (F.min("b") + 0.5) / 16).alias("noise"))
+BLOCKS = "source int, block int, ts binary, seq binary, value binary, head binary, tail binary, changes binary, hours binary"
 
 
-def _season(rows: DataFrame) -> DataFrame:
-    """``series, season``: for each hour of the day the middle and the spread of the usable values."""
-    hour = F.pmod(floor_div(F.col("ts"), NS_PER_HOUR), F.lit(24)).cast("int")
-    per_hour = rows.where("usable").groupBy("series", hour.alias("hour")).agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 200).alias("q"))
-    return per_hour.groupBy("series").agg(F.collect_list(F.struct("hour", "q")).alias("season"))
+def _edge(ts: np.ndarray, seq: np.ndarray, value: np.ndarray, part: slice) -> bytes:
+    return np.concatenate([ts[part], seq[part], value[part].view(np.int64)]).tobytes()
 
 
-FEATURES = (
-    "series string, shard int, seq bigint, ts bigint, value double, kind int, level float, jump float, season float, "
-    "run int, first boolean, head boolean, tail boolean, joins boolean, held bigint"
-)
+def _edge_arrays(raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.frombuffer(raw or b"", np.int64).reshape(3, -1)
+    return a[0], a[1], a[2].copy().view(float)
+
+
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A block in one row: its readings in order, each once, and what its source must know of it."""
+    ts, value = rows["ts"].to_numpy(np.int64), rows["value"].to_numpy(float)
+    seq = rows["seq"].fillna(-1).to_numpy(np.int64)
+    order = np.lexsort((value, seq, ts))
+    ts, seq, value = ts[order], seq[order], value[order]
+    again = np.zeros(len(ts), bool)
+    again[1:] = (ts[1:] == ts[:-1]) & (seq[1:] == seq[:-1]) & ((value[1:] == value[:-1]) | (np.isnan(value[1:]) & np.isnan(value[:-1])))
+    ts, seq, value = ts[~again], seq[~again], value[~again]
+    finite = np.isfinite(value)
+    y = value[finite]
+    with np.errstate(over="ignore"):
+        change = np.abs(np.diff(y))
+    bins, n = np.unique(np.floor(np.log2(change[(change > 1e-9) & np.isfinite(change)]) * 16).astype(np.int64), return_counts=True)
+    hour, hours = (ts[finite] // NS_PER_HOUR) % 24, np.full((24, 4), np.nan)
+    by_hour = np.argsort(hour, kind="stable")
+    cut = np.searchsorted(hour[by_hour], np.arange(25))
+    for h in range(24):
+        v = y[by_hour[cut[h] : cut[h + 1]]]
+        if len(v):
+            hours[h] = [len(v), *np.quantile(v, [0.25, 0.5, 0.75], method="nearest")]
+    row = (key[0], key[1], ts.tobytes(), seq.tobytes(), value.tobytes(), _edge(ts, seq, value, slice(0, HALO)), _edge(ts, seq, value, slice(-HALO, None)),
+           np.concatenate([bins, n]).tobytes(), hours.tobytes())
+    return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+
+
+SOURCES = "source int, block int, noise double, lo double, hi double, season binary, before binary, after binary"
+
+
+def _weighted_median(v: np.ndarray, w: np.ndarray) -> float:
+    order = np.argsort(v)
+    return float(v[order][np.searchsorted(np.cumsum(w[order]), 0.5 * w.sum())])
+
+
+def _source(blocks: pd.DataFrame) -> pd.DataFrame:
+    """For each block of a source: the source's noise, limits and daily pattern, and the readings around the block."""
+    blocks = blocks.sort_values("block", ignore_index=True)
+    hist: dict[int, int] = {}
+    for raw in blocks["changes"]:
+        b, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+        for x, k in zip(b.tolist(), n.tolist()):
+            hist[x] = hist.get(x, 0) + k
+    noise = 0.0
+    if hist:
+        keys = np.array(sorted(hist))
+        upto = np.cumsum([hist[k] for k in keys])
+        noise = float(2.0 ** ((keys[np.searchsorted(upto, upto[-1] / 2)] + 0.5) / 16))
+    hours = np.stack([np.frombuffer(raw, float).reshape(24, 4) for raw in blocks["hours"]])
+    season = np.full((24, 2), np.nan)
+    for h in range(24):
+        known = ~np.isnan(hours[:, h, 0])
+        if known.any():
+            q = [_weighted_median(hours[known, h, i], hours[known, h, 0]) for i in (1, 2, 3)]
+            season[h] = q[1], q[2] - q[0]
+    tails, heads = [None, *blocks["tail"][:-1]], [*blocks["head"][1:], None]
+    return pd.DataFrame(
+        {"source": blocks["source"], "block": blocks["block"], "noise": noise, "lo": blocks["lo"], "hi": blocks["hi"], "season": season.tobytes(),
+         "before": tails, "after": heads}
+    )
 
 
 def departures(y: np.ndarray, noise: float) -> np.ndarray:
@@ -122,146 +195,162 @@ def departures(y: np.ndarray, noise: float) -> np.ndarray:
     return best
 
 
-def _shard_features(key: tuple, rows: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
-    """Features of the readings of a shard; ``context`` has the neighbours' readings and one row about the source."""
-    about = context[context["about"]].iloc[0]
-    near = context[~context["about"]]
-    ts = np.concatenate([rows["ts"].to_numpy(np.int64), near["ts"].to_numpy(np.int64)])
-    seq = np.concatenate([rows["seq"].fillna(-1).to_numpy(np.int64), near["seq"].fillna(-1).to_numpy(np.int64)])
-    value = np.concatenate([rows["value"].to_numpy(float), near["value"].to_numpy(float)])
-    own = np.arange(len(ts)) < len(rows)
-    order = np.lexsort((value, seq, ts))
-    ts, seq, value, own = ts[order], seq[order], value[order], own[order]
-    # a row repeated as a whole counts once
-    again = np.zeros(len(ts), bool)
-    again[1:] = (ts[1:] == ts[:-1]) & (seq[1:] == seq[:-1]) & ((value[1:] == value[:-1]) | (np.isnan(value[1:]) & np.isnan(value[:-1])))
-    ts, seq, value, own = ts[~again], seq[~again], value[~again], own[~again]
-    n = len(ts)
-    noise = about["noise"] if about["noise"] == about["noise"] and about["noise"] is not None else 0.0
-    lo, hi = (x if x is not None and x == x else s for x, s in ((about["lo"], -np.inf), (about["hi"], np.inf)))
-    finite = np.isfinite(value)
-    out_of_limits = finite & ((value < lo) | (value > hi))
-    usable = finite & ~out_of_limits
-    kind = np.where(finite, np.where(out_of_limits, 2, 0), 1)
-    level, jump, seasonal = np.zeros(n), np.zeros(n), np.zeros(n)
-    run = np.full(n, -1)
-    first, head, tail = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-    held = np.zeros(n, np.int64)
-    joins = False
-    at = np.flatnonzero(usable)
-    y = value[at]
-    if len(at):
-        if noise > 0 and len(at) > 2:
-            # readings of one time and value, sent twice, are one reading here
-            keep = np.ones(len(at), bool)
-            keep[1:] = (ts[at][1:] != ts[at][:-1]) | (y[1:] != y[:-1])
-            back = np.cumsum(keep) - 1
-            z = y[keep]
-            jump[at] = departures(z, noise)[back]
-            middle = pd.Series(z).rolling(15, center=True, min_periods=1).median().to_numpy()
-            level[at] = (np.abs(z - middle) / noise)[back]
-            if about["season"] is not None and len(about["season"]):
-                usual, spread = np.full(24, np.nan), np.full(24, np.nan)
-                for s in about["season"]:
-                    q = s["q"]
-                    usual[s["hour"]], spread[s["hour"]] = q[1], q[2] - q[0]
-                h = (ts[at] // NS_PER_HOUR) % 24
-                seasonal[at] = np.nan_to_num(np.abs(y - usual[h]) / (spread[h] + noise))
-        same = np.abs(np.diff(y)) <= SAME * noise
-        mine = own[at]
-        k = at[mine]
-        if len(k):
-            inner = same[np.flatnonzero(mine)[0] : np.flatnonzero(mine)[-1]]
-            starts = np.concatenate([[True], ~inner])
-            ids = np.cumsum(starts) - 1
-            run[k], first[k] = ids, starts
-            held[k] = np.bincount(ids)[ids]
-            head[k], tail[k] = ids == 0, ids == ids[-1]
-            before = np.flatnonzero(mine)[0] - 1
-            joins = bool(before >= 0 and same[before])
-    first &= ~(head & joins)
-    res = pd.DataFrame(
-        {
-            "series": key[0], "shard": key[1], "seq": seq, "ts": ts, "value": value, "kind": kind, "level": level.astype("f4"),
-            "jump": jump.astype("f4"), "season": seasonal.astype("f4"), "run": run, "first": first, "head": head, "tail": tail,
-            "joins": joins, "held": held,
-        }
-    )
-    return res[own]
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.minimum(LEVELS - 1, np.floor(4 * np.log2(1 + x))).astype(np.int32)
 
 
-def reading_features(points: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per reading the features that its shard can tell, as a staged table, and the noise of each source.
+FEATURES = (
+    "source int, block int, ts binary, seq binary, value binary, codes binary, flags binary, held binary, pieces binary, long_runs binary, "
+    "lengths binary, runs int, joins boolean"
+)
 
-    ``held`` is the run's length in the shard.
+
+def _features(b: pd.Series) -> tuple:
+    """Features of the readings of a block, from its own readings and the neighbours'.
+
+    ``codes`` packs level, jump and season; ``held`` is the length of the run in this block. ``pieces`` has first reading,
+    length and value key of the first and the last run, ``long_runs`` value key, length and number of the other long runs, and
+    ``lengths`` counts the other runs by length.
     """
-    bounds = limits(catalog)
-    p = clean_points(points).select("series", "ts", "seq", F.coalesce("value", F.lit(float("nan"))).alias("value"))
-    p = _sharded(p)
-    place = Window.partitionBy("series", "shard")
-    order = place.orderBy("ts", "seq")
-    p = p.select(
-        "series", "shard", "ts", "seq", "value", F.row_number().over(order).alias("at"), F.count(F.lit(1)).over(place).alias("of"),
-        F.abs(F.col("value") - F.lag("value").over(order)).alias("change"),
-    )
-    p = storage.staged(p, "readings")
-    usable = p.join(bounds, "series", "left").withColumn(
-        "usable", is_finite(F.col("value")) & (F.col("value") >= F.coalesce("lo", F.lit(float("-inf")))) & (F.col("value") <= F.coalesce("hi", F.lit(float("inf"))))
-    )
-    about = p.select("series").distinct().join(_noise(p.where(is_finite(F.col("change")))), "series", "left")
-    about = about.join(_season(usable), "series", "left").join(bounds, "series", "left")
-    shards = p.where("at = 1").select("series", "shard")
-    edges = p.where((F.col("at") <= HALO) | (F.col("at") > F.col("of") - HALO))
-    up = edges.where(F.col("at") > F.col("of") - HALO).withColumn("shard", F.col("shard") + 1)
-    down = edges.where(F.col("at") <= HALO).withColumn("shard", F.col("shard") - 1)
-    halo = up.unionByName(down).select("series", "shard", "ts", "seq", "value", F.lit(False).alias("about"))
-    halo = halo.join(shards, ["series", "shard"], "left_semi")
-    context = shards.join(about, "series").withColumn("about", F.lit(True)).unionByName(halo, allowMissingColumns=True)
-    context = context.toDF(*context.columns)  # columns of its own, as both sides come from one table
-    rows = p.select("series", "shard", "ts", "seq", "value")
-    made = rows.groupBy("series", "shard").cogroup(context.groupBy("series", "shard")).applyInPandas(_shard_features, FEATURES)
-    return storage.staged(made, "features"), about.select("series", "noise")
-
-
-def with_runs(features: DataFrame, noise: DataFrame) -> DataFrame:
-    """Adds ``length`` (of the whole run, across shards) and ``longest`` (the length from which it is stuck).
+    ts0, seq0, value0 = (np.frombuffer(b[c], t) for c, t in (("ts", np.int64), ("seq", np.int64), ("value", float)))
+    before, after = _edge_arrays(b["before"]), _edge_arrays(b["after"])
+    ts, value = np.concatenate([before[0], ts0, after[0]]), np.concatenate([before[2], value0, after[2]])
+    mine = slice(len(before[0]), len(before[0]) + len(ts0))
+    n = len(ts)
+    noise = float(b["noise"])
+    lo, hi = (float(x) if x is not None and x == x else s for x, s in ((b["lo"], -np.inf), (b["hi"], np.inf)))
+    finite = np.isfinite(value)
+    outside = finite & ((value < lo) | (value > hi))
+    flags = np.where(finite, np.where(outside, LIMIT, 0), NOT_FINITE).astype(np.uint8)
+    level, jump, seasonal, held = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int32)
+    pieces, long_runs, lengths, runs, joins = np.zeros((3, 0)), np.zeros((3, 0)), np.zeros(0, np.int64), 0, False
+    at = np.flatnonzero(finite & ~outside)
+    y = value[at]
+    if noise > 0 and len(at) > 2:
+        # readings of one time and value, sent twice, are one reading here
+        keep = np.ones(len(at), bool)
+        keep[1:] = (ts[at][1:] != ts[at][:-1]) | (y[1:] != y[:-1])
+        back = np.cumsum(keep) - 1
+        z = y[keep]
+        jump[at] = departures(z, noise)[back]
+        middle = pd.Series(z).rolling(15, center=True, min_periods=1).median().to_numpy()
+        level[at] = (np.abs(z - middle) / noise)[back]
+        season = np.frombuffer(b["season"], float).reshape(24, 2)[(ts[at] // NS_PER_HOUR) % 24]
+        seasonal[at] = np.nan_to_num(np.abs(y - season[:, 0]) / (season[:, 1] + noise))
+        flags[at[jump[at] >= SPIKE]] |= JUMPS
+    own = np.flatnonzero((at >= mine.start) & (at < mine.stop))
+    if len(own):
+        same = np.abs(np.diff(y)) <= SAME * noise
+        k = at[own]
+        starts = np.r_[True, ~same[own[0] : own[-1]]]
+        begin = np.flatnonzero(starts)
+        size = np.diff(np.r_[begin, len(k)])
+        runs, joins = len(begin), bool(own[0] > 0 and same[own[0] - 1])
+        held[k] = np.repeat(size, size)
+        if joins:
+            starts[0] = False
+        flags[k[starts]] |= STARTS
+        keys = _value_key(value[k[begin]], noise)
+        ends = [0] if runs == 1 else [0, runs - 1]
+        pieces = np.stack([begin[ends].astype(float), size[ends].astype(float), keys[ends]])
+        inner = np.arange(1, runs - 1)
+        lengths = np.bincount(size[inner]) if len(inner) else lengths
+        big = inner[size[inner] >= SHORTEST]
+        if len(big):
+            pair, count = np.unique(np.stack([keys[big], size[big].astype(float)]), axis=1, return_counts=True)
+            long_runs = np.vstack([pair, count])
+    codes = (_rounded(level) * LEVELS + _rounded(jump)) * LEVELS + _rounded(seasonal)
+    return (b["source"], b["block"], b["ts"], b["seq"], b["value"], codes[mine].astype(np.int32).tobytes(), flags[mine].tobytes(), held[mine].tobytes(),
+            pieces.tobytes(), long_runs.astype(float).tobytes(), lengths.astype(np.int64).tobytes(), runs, joins)
+
+
+def _value_key(v: np.ndarray, noise: float) -> np.ndarray:
+    return np.round(v / max(noise * SAME * 10, 1e-9))
+
+
+RUNS = "source int, block int, first_length long, last_length long, run_longest double, resting binary"
+
+
+def _runs(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The lengths of runs that cross blocks, and from what length a run of this source is stuck.
 
     Values at which a source rests (three long runs or more, a twentieth of its readings) are compared with the runs at
     that value, all others with the runs that the source has elsewhere.
     """
-    pieces = features.where((F.col("head") | F.col("tail")) & (F.col("run") >= 0)).groupBy("series", "shard", "run").agg(
-        F.first("held").alias("held"), F.first(F.col("head") & F.col("joins")).alias("goes_on"), F.first("value").alias("value")
-    )
-    chain = Window.partitionBy("series").orderBy("shard", "run")
-    pieces = pieces.withColumn("whole", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(chain))
-    length = pieces.groupBy("series", "whole").agg(F.sum("held").alias("length"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    crossing = pieces.join(length, ["series", "whole"]).select("series", "shard", "run", "length")
-    f = features.join(crossing, ["series", "shard", "run"], "left").withColumn("length", F.coalesce("length", "held"))
-    # resting values, by long runs at the same value
-    f = f.join(noise, "series", "left").withColumn("at_value", F.round(F.col("value") / F.greatest(F.coalesce("noise", F.lit(1.0)) * SAME * 10, F.lit(1e-9))))
-    starts = f.where(F.col("first") & (F.col("run") >= 0))
-    size = features.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    long_runs = starts.where(F.col("length") >= 8).groupBy("series", "at_value")
-    ranked = long_runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("length").alias("rows"), F.percentile_approx("length", 0.9, 1000).alias("typical"))
-    resting = ranked.join(size, "series").where((F.col("runs") >= 3) & (F.col("rows") >= 0.05 * F.col("n")))
-    resting = resting.select("series", "at_value", (F.col("typical") * FAR_LONGER).alias("rest_longest"))
-    other = starts.join(resting.select("series", "at_value"), ["series", "at_value"], "left_anti").groupBy("series").agg(
-        F.greatest(F.lit(float(SHORTEST)), F.percentile_approx("length", 0.99, 1000) * FAR_LONGER).alias("run_longest")
-    )
-    f = f.join(resting, ["series", "at_value"], "left").join(other, "series", "left")
-    return f.withColumn("longest", F.coalesce("rest_longest", "run_longest", F.lit(float(SHORTEST)))).drop("rest_longest", "run_longest", "at_value")
-
-
-def _rounded(x: Column) -> Column:
-    return F.least(F.lit(LEVELS - 1), F.floor(4 * F.log2(1 + F.coalesce(x, F.lit(0.0)))).cast("int"))
+    blocks = blocks.sort_values("block", ignore_index=True)
+    chains: list[list[float]] = []  # length, value key
+    place: list[tuple[int, int]] = []
+    for raw, joins, runs in zip(blocks["pieces"], blocks["joins"], blocks["runs"]):
+        p = np.frombuffer(raw, float).reshape(3, -1)
+        if not runs:
+            place.append((-1, -1))
+            continue
+        if joins and chains:
+            chains[-1][0] += p[1, 0]
+        else:
+            chains.append([p[1, 0], p[2, 0]])
+        first = len(chains) - 1
+        if runs > 1:
+            chains.append([p[1, 1], p[2, 1]])
+        place.append((first, len(chains) - 1))
+    by_value: dict[float, list[tuple[float, float]]] = {}
+    counts: dict[int, float] = {}
+    for length, key in chains:
+        by_value.setdefault(key, []).append((length, 1.0))
+        counts[int(length)] = counts.get(int(length), 0) + 1
+    for raw, lengths in zip(blocks["long_runs"], blocks["lengths"]):
+        for key, length, n in np.frombuffer(raw, float).reshape(3, -1).T:
+            by_value.setdefault(key, []).append((length, n))
+        for length, n in enumerate(np.frombuffer(lengths, np.int64)):
+            if n:
+                counts[length] = counts.get(length, 0) + n
+    total = sum(length * n for length, n in counts.items())
+    resting = []
+    for key, runs in by_value.items():
+        at = np.array([r for r in runs if r[0] >= 8]).reshape(-1, 2)
+        if at[:, 1].sum() >= 3 and (at[:, 0] * at[:, 1]).sum() >= 0.05 * total:
+            at = at[np.argsort(at[:, 0])]
+            typical = at[min(len(at) - 1, np.searchsorted(np.cumsum(at[:, 1]), 0.9 * at[:, 1].sum())), 0]
+            resting.append((key, typical * FAR_LONGER))
+            for length, n in runs:
+                counts[int(length)] -= n
+    ordered = sorted((length, n) for length, n in counts.items() if n > 0)
+    upto = np.cumsum([n for _, n in ordered])
+    usual = ordered[int(np.searchsorted(upto, 0.99 * upto[-1]))][0] if ordered else 0
+    length = lambda i: int(chains[i][0]) if i >= 0 else 0
+    return pd.DataFrame(
+        {"source": blocks["source"], "block": blocks["block"], "first_length": [length(a) for a, _ in place], "last_length": [length(b) for _, b in place],
+         "run_longest": float(max(SHORTEST, usual * FAR_LONGER)), "resting": np.array(resting, float).reshape(-1, 2).tobytes()}
+    )
 
 
-def code() -> Column:
-    """The four features, rounded and packed into one number."""
-    out = F.lit(0)
-    for x in (F.col("level"), F.col("jump"), F.col("season"), F.col("length") / F.col("longest")):
-        out = out * LEVELS + _rounded(x)
-    return out
+def _full_codes(b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes with the fourth feature, flags, and whether the run of a reading is too long."""
+    codes, flags = np.frombuffer(b["codes"], np.int32), np.frombuffer(b["flags"], np.uint8)
+    usable = np.flatnonzero((flags & (NOT_FINITE | LIMIT)) == 0)
+    share = np.zeros(len(codes))
+    if len(usable):
+        length = np.frombuffer(b["held"], np.int32)[usable].astype(float)
+        pieces = np.frombuffer(b["pieces"], float).reshape(3, -1)
+        length[: int(pieces[1, 0])] = b["first_length"]
+        length[int(pieces[0, -1]) :] = b["last_length"]
+        longest = np.full(len(usable), float(b["run_longest"]))
+        rest = np.frombuffer(b["resting"], float).reshape(-1, 2)
+        if len(rest):
+            keys = _value_key(np.frombuffer(b["value"], float)[usable], float(b["noise"]))
+            for key, limit in rest:
+                longest[keys == key] = limit
+        share[usable] = length / longest
+    return codes * LEVELS + _rounded(share), flags, share >= 1
+
+
+def _weights(b: pd.Series) -> Iterator[tuple]:
+    codes, flags, _ = _full_codes(b)
+    usable = (flags & (NOT_FINITE | LIMIT)) == 0
+    distinct, where = np.unique(codes[usable], return_inverse=True)
+    first = np.bincount(where, (flags[usable] & STARTS) > 0, len(distinct)) if len(distinct) else []
+    for c, w in zip(distinct.tolist(), first):
+        yield (b["source"], c, float(w))
 
 
 def isolation_scores(codes: np.ndarray, weights: np.ndarray, seed: int) -> np.ndarray:
@@ -307,56 +396,124 @@ def isolation_scores(codes: np.ndarray, weights: np.ndarray, seed: int) -> np.nd
         if not len(node):
             break
     norm = lambda m: np.where(m > 1, 2 * (np.log(np.maximum(m - 1, 1)) + 0.5772156649) - 2 * (m - 1) / np.maximum(m, 1), 0.0)
-    path = np.zeros(len(codes))
-    each = np.arange(len(codes))
-    for k in range(TREES):
-        at, deep = np.ones(len(codes), int), np.zeros(len(codes))
-        for _ in range(DEPTH):
-            f = feature[k][at]
-            on = f >= 0
-            if not on.any():
-                break
-            nxt = 2 * at + (x[each, np.maximum(f, 0)] > cut[k][at])
-            at, deep = np.where(on, nxt, at), deep + on
-        path += deep + norm(count[k][at])
-    return 2.0 ** (-(path / TREES) / max(float(norm(np.array([size]))[0]), 1e-9))
-
-
-def _score_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("code", ignore_index=True)
-    w = pdf["weight"].to_numpy(float)
+    at, deep = np.ones((TREES, len(codes)), int), np.zeros((TREES, len(codes)))
+    row, each = np.arange(TREES)[:, None], np.arange(len(codes))[None, :]
+    for _ in range(DEPTH):
+        f = feature[row, at]
+        on = f >= 0
+        if not on.any():
+            break
+        nxt = 2 * at + (x[each, np.maximum(f, 0)] > cut[row, at])
+        at, deep = np.where(on, nxt, at), deep + on
+    path = (deep + norm(count[row, at])).mean(0)
+    return 2.0 ** (-path / max(float(norm(np.array([size]))[0]), 1e-9))
+
+
+SCORES = "source int, known binary, scores binary, cutoff double"
+
+
+def _score_source(weights: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the codes of a source; what the forest finds unusual is the upper tenth of the runs, or 0.5 and more."""
+    weights = weights.sort_values("code", ignore_index=True)
+    codes, w = weights["code"].to_numpy(np.int32), weights["weight"].to_numpy(float)
     w = w if w.sum() > 0 else w + 1
-    s = isolation_scores(pdf["code"].to_numpy(), w, 7)
+    s = isolation_scores(codes, w, 7)
     order = np.argsort(s)
     usual = s[order][min(len(s) - 1, int(np.searchsorted(np.cumsum(w[order]), 0.9 * w.sum())))]
-    return pd.DataFrame({"series": pdf["series"], "code": pdf["code"], "score": s, "cutoff": min(usual, 0.5)})
+    return pd.DataFrame({"source": weights["source"][:1], "known": [codes.tobytes()], "scores": [s.tobytes()], "cutoff": [min(usual, 0.5)]})
 
 
-def scored_readings(points: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every reading with its features, ``score`` and the reason, if any, why it cannot be right.
+REASONS = (None, "not_finite", "limit", "spike", "stuck")
+DECIDED = "source int, seq long, ts long, value double, score double, reason int"
 
-    Columns: ``series, seq, ts, value, score, reason``; ``reason`` is ``spike``, ``stuck``, ``limit``, ``not_finite`` or
-    null. Rows repeated as a whole count once. A null value is not finite. Readings that are not finite or beyond the limits are
-    outside the forest (score 1) and no neighbours to others. A source whose readings never change has neither spikes nor
-    stuck runs, as its one run is its normal state. Rows without series or ts are left out; a missing seq is given as -1.
-    A source that the catalog lacks has no limits. Empty tables give an empty result; further columns are ignored.
-    """
-    features, noise = reading_features(points, catalog)
-    f = with_runs(features, noise).withColumn("code", code())
-    weights = f.where("kind = 0").groupBy("series", "code").agg(F.count(F.when(F.col("first"), 1)).alias("weight"))
-    scores = weights.groupBy("series").applyInPandas(_score_source, "series string, code int, score double, cutoff double")
-    scores = storage.staged(scores, "scores")
-    f = f.join(scores, ["series", "code"], "left")
-    unusual = F.col("score") >= F.col("cutoff")
-    reason = (
-        F.when(F.col("kind") == 1, "not_finite")
-        .when(F.col("kind") == 2, "limit")
-        .when(unusual & (F.col("jump") >= SPIKE), "spike")
-        .when(unusual & (F.col("length") >= F.col("longest")) & F.col("noise").isNotNull(), "stuck")
-    )
-    return f.select("series", "seq", "ts", "value", F.when(F.col("kind") > 0, 1.0).otherwise(F.col("score")).alias("score"), reason.alias("reason"))
 
+def _decide(b: pd.Series, all_readings: bool) -> pd.DataFrame:
+    codes, flags, stuck = _full_codes(b)
+    score = np.ones(len(codes))
+    usable = (flags & (NOT_FINITE | LIMIT)) == 0
+    if usable.any() and b["known"] is not None:
+        known = np.frombuffer(b["known"], np.int32)
+        score[usable] = np.frombuffer(b["scores"], float)[np.searchsorted(known, codes[usable])]
+    unusual = usable & (score >= (b["cutoff"] if b["cutoff"] == b["cutoff"] else 1.0))
+    reason = np.zeros(len(codes), np.int32)
+    reason[unusual & stuck & (float(b["noise"]) > 0)] = 4
+    reason[unusual & ((flags & JUMPS) > 0)] = 3
+    reason[(flags & LIMIT) > 0] = 2
+    reason[(flags & NOT_FINITE) > 0] = 1
+    k = np.arange(len(codes)) if all_readings else np.flatnonzero(reason)
+    column = lambda c, t: np.frombuffer(b[c], t)[k]
+    return pd.DataFrame({"source": b["source"], "seq": column("seq", np.int64), "ts": column("ts", np.int64), "value": column("value", float), "score": score[k], "reason": reason[k]})
+
+
+def _each(f: Callable, columns: str, many: bool = False) -> Callable:
+    """A function of a block as one of batches of blocks."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for _, b in batch.iterrows() for r in (f(b) if many else [f(b)])]
+            yield pd.DataFrame(rows, columns=names)
 
-def implausible(scored: DataFrame) -> DataFrame:
+    return run
+
+
+def judged(points: DataFrame, catalog: DataFrame, all_readings: bool = True) -> DataFrame:
+    """Readings with a score, and the reason, if any, why each cannot be right.
+
+    Columns: ``series, seq, ts, value, score, reason``; ``reason`` is ``spike``, ``stuck``, ``limit``, ``not_finite`` or
+    null. All readings are scored; with ``all_readings`` false, those without a reason are left out of the result.
+
+    Rows repeated as a whole count once. A null value is not finite. Readings that are not finite or beyond the limits are
+    outside the forest (score 1) and no neighbours to others. A source whose readings never change has neither
+    spikes nor stuck runs, as its one run is its normal state. Rows without series or ts are left out; a missing seq is given
+    as -1. A source that the catalog lacks has no limits. Empty tables give an empty result; further columns are ignored.
+    """
+    spark = points.sparkSession
+    p = clean_points(points).select("series", "ts", "seq", F.coalesce("value", F.lit(float("nan"))).alias("value"))
+    numbered = p.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    numbered = numbered.join(limits(catalog), "series", "left")
+    dense = F.row_number().over(Window.partitionBy("lane").orderBy("series")) - 1
+    lanes = 64  # numbers are given in lanes by hash, so that no one task sees all sources
+    numbered = numbered.withColumn("lane", F.pmod(F.hash("series"), F.lit(lanes))).withColumn("source", (dense * lanes + F.col("lane")).cast("int")).drop("lane")
+    sources = storage.staged(numbered, "sources")
+    largest, n_sources = sources.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+    named = sources.select("series", "source", "n")
+    named = F.broadcast(named) if n_sources * 100 <= BROADCAST_BYTES else named
+    blocks = _cut(p, named, largest).groupBy("source", "block").applyInPandas(_pack, BLOCKS)
+    blocks = storage.staged(blocks, "blocks")
+    about = blocks.select("source", "block", "head", "tail", "changes", "hours").join(sources.select("source", "lo", "hi"), "source")
+    about = storage.staged(about.groupBy("source").applyInPandas(_source, SOURCES), "about")
+    n_blocks = about.count()
+    with _small_batches(spark):
+        whole = blocks.select("source", "block", "ts", "seq", "value")
+        made = _with(whole, about, n_blocks, 2000, ["source", "block"]).mapInPandas(_each(_features, FEATURES), FEATURES)
+        features = storage.staged(made, "features")
+        storage.drop(blocks)
+        of_source = features.select("source", "block", "pieces", "long_runs", "lengths", "runs", "joins")
+        runs = storage.staged(of_source.groupBy("source").applyInPandas(_runs, RUNS), "runs")
+        noise = about.select("source", "block", "noise").join(runs, ["source", "block"])
+        noise = storage.staged(noise, "limits")
+        ready = _with(features.drop("long_runs", "lengths", "runs", "joins"), noise, n_blocks, 200, ["source", "block"])
+        weights = ready.drop("ts", "seq").mapInPandas(_each(_weights, "source int, code int, weight double", True), "source int, code int, weight double")
+        weights = weights.groupBy("source", "code").agg(F.sum("weight").alias("weight"))
+        scores = storage.staged(weights.groupBy("source").applyInPandas(_score_source, SCORES), "scores")
+        # most codes of a source that can occur are few thousands; 12 bytes each
+        size = scores.agg(F.coalesce(F.sum(F.length("known") * 3), F.lit(0))).first()[0]
+        scored = ready.join(F.broadcast(scores) if size <= BROADCAST_BYTES else scores, "source", "left")
+
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, b in batch.iterrows():
+                    yield _decide(b, all_readings)
+
+        decided = storage.staged(scored.mapInPandas(decide, DECIDED), "decided")
+        storage.drop(features)
+    names = sources.select("source", "series")
+    names = F.broadcast(names) if n_sources * 100 <= BROADCAST_BYTES else names
+    reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("reason") + 1)
+    return decided.join(names, "source").select("series", "seq", "ts", "value", "score", reason.alias("reason"))
+
+
+def implausible(points: DataFrame, catalog: DataFrame) -> DataFrame:
     """``seq`` of the readings that cannot be right, each once."""
-    return scored.where(F.col("reason").isNotNull()).select("seq").distinct()
+    return judged(points, catalog, False).where(F.col("reason").isNotNull()).select("seq").distinct()

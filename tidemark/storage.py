@@ -81,7 +81,16 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(staged_df: DataFrame) -> None:
+    """Delete a staged table that nothing will read any more."""
+    path = staged_df._staged_at
+    _staged[:] = [x for x in _staged if x[1] != path]
+    delete(staged_df.sparkSession, path)
 
 
 @atexit.register
