@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import distinct, packing, tokenize
+from tidemark.llm import distinct, packing, pii, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,13 @@ def p8_ids(spark, d):
 @query
 def p9_packed(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+@query
+def p10_found(spark, d):
+    return pii.found(table(spark, d, "documents"), table(spark, d, "known_names"), table(spark, d, "items"))
+
+
+@query
+def p10_sanitised(spark, d):
+    return pii.sanitised(table(spark, d, "documents"), table(spark, d, "known_names"), table(spark, d, "items"))
