@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tidemark import storage
 
 THRESHOLD = 0.0  #: sum of the log odds of its terms above which an ambiguous form is taken
+AFTER = 0.3  #: weight of the terms behind a number against those before it, which name it more often
 BROADCAST_TERMS = 500_000  #: terms up to which their table is sent to all executors
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON]"}
 
@@ -108,15 +109,17 @@ def normal_form(text: str) -> tuple[str, list[int] | range]:
 
 # ---- forms. The patterns and word lists of this section.
 
-_AT = r"(?:[ ]?@[ ]?|[ ]{0,2}[(\[{][ ]?at[ ]?[)\]}][ ]{0,2}|[ ]{1,2}at[ ]{1,2})"
-_DOT = r"(?:\.|[ ]{0,2}[(\[{][ ]?dot[ ]?[)\]}][ ]{0,2}|[ ]{1,2}dot[ ]{1,2})"
-_LOCAL = r"(?:\"[^\"\n]{1,64}\"|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]+(?:(?:\.|[ ]{1,2}dot[ ]{1,2}|[ ]?[(\[]dot[)\]][ ]?)[A-Za-z0-9_%+\-]+)*)"
+_AT_WORD = "(?:at|ät|arroba|chiocciola|ma[łl]pa|arobase|klammeraffe)"
+_DOT_WORD = "(?:dot|punkt|punto|point|kropka)"
+_AT = rf"(?:[ ]?@[ ]?|[ ]{{0,2}}[(\[{{][ ]?{_AT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}})"
+_DOT = rf"(?:\.|[ ]{{0,2}}[(\[{{][ ]?{_DOT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}})"
+_LOCAL = rf"(?:\"[^\"\n]{{1,64}}\"|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]+(?:(?:\.|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[ ]?[(\[]{_DOT_WORD}[)\]][ ]?)[A-Za-z0-9_%+\-]+)*)"
 EMAIL = re.compile(rf"({_LOCAL})({_AT})([A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}([A-Za-z]{{2,24}}))(?![A-Za-z0-9]|[ ]?@)", re.I)
 _DOMAINS = frozenset("com net org info edu gov biz io eu co uk de fr es it pl jp us example test invalid localhost".split())
 
 _SEP = r"[ .\-/]"
 _END = r"(?![0-9A-Za-z]|[\-./]\d)"
-_BEGIN = r"(?<![A-Za-z0-9#@])(?<![0-9A-Za-z][\-./])"
+_BEGIN = r"(?<![A-Za-z0-9À-ɏ#@])(?<![0-9A-Za-z][\-./])"
 _DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|due|tre|quattro|cinque|sei|sette|otto|nove|jeden|dwa|trzy|cztery|pięć|sześć|siedem|osiem|dziewięć"
 SURE_PHONE = re.compile(
     rf"\+\d{{1,3}}(?:[ ]?\(0\))?(?:{_SEP}?\(?\d{{1,8}}\)?){{1,6}}{_END}"
@@ -147,7 +150,7 @@ THING = re.compile(
     re.I,
 )
 ID_LABEL = re.compile(
-    r"(?:ssn|social|social security(?: n\w*)?|nino?|ni n\w+|national insurance(?: n\w*)?|tax id|itin|passport(?: n\w*)?|nir|s[ée]cu|s[ée]curit[ée] sociale|id-?nr|steuer-?id|steuer\w*nummer|ausweis\w*|reisepass\w*|personalausweis\w*|dni|nie|nif|pasaporte|passeport|passaporto|codice fiscale|pesel|nip|paszport\w*|dow[óo]d\w*|マイナンバー|個人番号|パスポート番号)[^\w\n]{0,4}(?:is|ist|es|est|è|to|は)?[^\w\n+]{0,3}\Z",
+    r"(?<![^\W\d_])(?:ssn|social|social security(?: n\w*)?|nino?|ni n\w+|national insurance(?: n\w*)?|tax id|itin|passport(?: n\w*)?|nir|s[ée]cu|s[ée]curit[ée] sociale|id-?nr|steuer-?id|steuer\w*nummer|ausweis\w*|reisepass\w*|personalausweis\w*|dni|nie|nif|pasaporte|passeport|passaporto|codice fiscale|pesel|nip|paszport\w*|dow[óo]d\w*|マイナンバー|個人番号|パスポート番号)(?![^\W\d_])\.?[^\n.!?。\d]{0,40}\Z",
     re.I,
 )
 
@@ -155,13 +158,13 @@ _EN_TYPES = r"(?:roads?|rd|streets?|st|lane|ln|drive|dr|close|terrace|ter|avenue
 _EN_MORE = r"(?:Way|Court|Ct|Square|Sq|Hill|Place|Pl|Quay|Row|Green|Park|Gate)\b\.?"
 _NO = r"\d{1,5}(?:[ ]?[a-zA-Z](?![^\W_]))?"
 _FR_TYPES = r"(?:rue|r\.|avenue|av\.?|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|quai|impasse|imp\.|all[ée]e|cours|route|passage|square|sentier|ruelle)"
-_ES_TYPES = r"(?:calle|c/|c\.|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|carrera|ronda|traves[íi]a|callej[óo]n|via|viale|corso|piazza|vicolo|largo|strada|ulica|ul\.|aleja|al\.|plac|pl\.|os\.)"
+_ES_TYPES = r"(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|carrera|ronda|traves[íi]a|callej[óo]n|via|viale|corso|piazza|vicolo|largo|strada|ulica|ul\.|aleja|al\.|plac|pl\.|os\.)"
 ADDRESS = re.compile(
     rf"(?<![\w.,/\-]){_NO},?[ ]+(?:(?!and\b|or\b|of\b|in\b|the\b|a\b|to\b|days?\b|hours?\b|minutes?\b|weeks?\b|months?\b|years?\b|stars?\b|by\b|my\b)[^\W\d_][^\W\d_'’\-]*[ ]+){{1,3}}{_EN_TYPES}(?![^\W_])"
     rf"|(?<![\w.,/\-]){_NO},?[ ]+(?:(?-i:[A-Z])[^\W\d_'’\-]*[ ]+){{1,3}}(?-i:{_EN_MORE})(?![^\W_])"
-    rf"|(?<![\w.,/\-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?[ ]?,?[ ]+{_FR_TYPES}[ ]+(?:(?:de|du|des|la|le|les|aux?|à|l'|d'|st|saint|sainte)[ ]*){{0,3}}[^\W\d_][\w'’\-]*"
+    rf"|(?<![\w.,/\-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?[ ]?,?[ ]+{_FR_TYPES}[ ]+(?:(?:de|du|des|la|le|les|aux?|à|st|saint|sainte)[ ]+|[ld]['’]){{0,3}}[^\W\d_][\w'’\-]*"
     rf"|(?<![^\W_])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*[ \-]?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ring|ufer|damm|steig|chaussee)[ ]+{_NO}(?![\w/]|[.,]\d)"
-    rf"|(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*\.?[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)",
+    rf"|(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)",
     re.I,
 )
 
@@ -176,6 +179,18 @@ def _flat(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word.lower())
 
 
+def _close(a: str, b: str) -> bool:
+    """Equal, or one letter put in, left out, changed or swapped with the next."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
 class NameModel:
     """Name words: the known ones, and those made of a stem and an ending that known ones of the kind have.
 
@@ -197,7 +212,8 @@ class NameModel:
             good_end = {e for e in good_end if len(ends[e] & good_stem) >= partners}
             self.sets[kind] = frozenset(_flat(w) for w in words)
             self.parts[kind] = (frozenset(good_stem), frozenset(good_end))
-        self.brands = frozenset(" ".join(_flat(p) for p in b.split()) for b in brands if b)
+        parts = [[_flat(p) for p in b.split()] for b in brands if b]
+        self.brands = frozenset((p[0], p[-1]) for p in parts if len(p) > 1)
         self._seen: dict[tuple[str, str], int] = {}
 
     def kind(self, word: str, kind: str) -> int:
@@ -233,7 +249,9 @@ class NameModel:
         return any(self.kind(w[:i] + c + w[i:], kind) for i in range(1, len(w) + 1) for c in letters)
 
     def is_brand(self, first: str, last: str) -> bool:
-        return f"{_flat(first)} {_flat(last)}" in self.brands
+        """Whether two words are a brand; one of them may be misspelled by a letter."""
+        a, b = _flat(first), _flat(last)
+        return any((a == x and _close(b, y)) or (b == y and _close(a, x)) for x, y in self.brands)
 
 
 class Form:
@@ -245,14 +263,28 @@ class Form:
         self.kind, self.start, self.end, self.sure, self.terms = kind, start, end, sure, terms
 
 
+# Abbreviations before numbers, after which a stop ends no sentence.
+_SHORT = frozenset("tel tél telef mob cel port ph fax no nr n num núm idnr id nip st".split())
+
+
 def _around(t: str, start: int, end: int) -> tuple[str, ...]:
-    """The terms next to a number: one and two words before it, one and two after it; a line break counts as a word."""
-    before = [_flat(w) for w in re.findall(r"\n|[^\W\d_]+", t[max(0, start - 48) : start])[-2:]]
-    gap = re.split(r"[^\W\d_]|\n", t[max(0, start - 48) : start])[-1]
-    if before and re.search(r"[.!?。]\s", gap) and before[-1] != "\n" and not re.search(r"(?i)(?:tel|tél|nr|no|n)\.\s*\Z", t[max(0, start - 6) : start]):
-        before = ["."]
-    after = [_flat(w) for w in re.findall(r"\n|[^\W\d_]+", t[end : end + 48])[:2]]
-    return ("<" + before[-1] if before else "<", "<<" + " ".join(before), ">" + (after[0] if after else ""), ">>" + " ".join(after))
+    """The terms next to a number in its sentence: one and two words before it, one and two after it.
+
+    A line break counts as a word. A stop followed by a blank ends the sentence, but not behind an abbreviation.
+    """
+    left = t[max(0, start - 48) : start]
+    m = re.search(r"([^\W\d_]*)([.!?。][ ]+[^\w\n+(]*)\Z", left)
+    if m and m.group(1).lower() not in _SHORT:
+        left = ""
+    right = re.split(r"[.!?。](?!\w)", t[end : end + 48], maxsplit=1)[0]
+    before = [_flat(w) for w in re.findall(r"\n|[^\W\d_]+", left)[-2:]]
+    after = [_flat(w) for w in re.findall(r"\n|[^\W\d_]+", right)[:2]]
+    out = []
+    if before:
+        out += ["<" + before[-1], "<<" + " ".join(before)]
+    if after:
+        out += [">" + after[0], ">>" + " ".join(after)]
+    return tuple(out)
 
 
 def _digits(s: str) -> int:
@@ -272,11 +304,14 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         out.append(f)
         taken.append((f.start, f.end))
 
-    for m in EMAIL.finditer(t):
+    m = EMAIL.search(t)
+    while m:
         spelled = "@" not in m.group(2) and not re.search(r"[(\[{]", m.group(2))
         if spelled and m.group(4).lower() not in _DOMAINS:
+            m = EMAIL.search(t, m.end(2))  # an "at" of the sentence; the address may begin behind it
             continue
         take(Form("email", m.start(1), m.end(3), True))
+        m = EMAIL.search(t, m.end())
     for m in re.finditer(r"(?<!\w)@[A-Za-z]\w+", t):
         taken.append((m.start(), m.end()))
     for m in ADDRESS.finditer(t):
@@ -287,7 +322,7 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
             take(Form("id_number", m.start(), m.end(), True, _around(t, m.start(), m.end())))
     for m in SURE_PHONE.finditer(t):
         n, first = _digits(m.group(0)), m.group(0)
-        if _overlaps(taken, m.start(), m.end()) or ID_LABEL.search(t[max(0, m.start() - 40) : m.start()]):
+        if _overlaps(taken, m.start(), m.end()) or ID_LABEL.search(t[max(0, m.start() - 70) : m.start()]):
             continue
         if n and not (12 <= n <= 15 if first.startswith("00") else 9 <= n <= 15):
             continue
@@ -295,7 +330,7 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
     for m in MAYBE_ID.finditer(t):
         if _overlaps(taken, m.start(), m.end()):
             continue
-        labelled = bool(ID_LABEL.search(t[max(0, m.start() - 40) : m.start()])) or bool(re.match(r"(?i)[^\n]{0,16}\bmy (?:ssn|social|tax id|passport|ni)\b", t[m.end() : m.end() + 40]))
+        labelled = bool(ID_LABEL.search(t[max(0, m.start() - 70) : m.start()])) or bool(re.match(r"(?i)[^\n]{0,16}\bmy (?:ssn|social|tax id|passport|ni)\b", t[m.end() : m.end() + 40]))
         f = Form("id_number", m.start(), m.end(), labelled, _around(t, m.start(), m.end()))
         take(f) if labelled else out.append(f)
     for m in MAYBE_PHONE.finditer(t):
@@ -367,7 +402,6 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
         begin, g, first = form
         titled = False
         if first:
-            k = next((x for x in range(len(words)) if words[x][1] == begin), 0) if False else i
             back = t[max(0, begin - 12) : begin]
             titled = bool(re.search(r"(?i)(?<![^\W\d_])(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|mme|m|sr|sra|sig|pani?)\.?[ ]+\Z", back))
         if first and names.is_brand(first, w) and not titled:
@@ -376,7 +410,7 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
             sure = f == 2 or g == 2 or titled
             out.append(Form("person_name", begin, b, sure, () if sure else ("=" + _flat(w),)))
             done = b
-        elif first and g == 2 and w[0].isupper() and len(w) >= 4 and names.near(w, "family") and not any(names.is_brand(first, x) for x in ()):
+        elif first and g == 2 and w[0].isupper() and len(w) >= 4 and names.near(w, "family"):
             out.append(Form("person_name", begin, b, False, ("=" + _flat(w),)))
     return out
 
@@ -465,7 +499,8 @@ def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> Dat
     if table.count() <= 3 * BROADCAST_TERMS:
         table = F.broadcast(table)
     ambiguous = found.where("not sure").select(*where, F.explode("terms").alias("term")).join(table, ["term", "kind"], "left")
-    disclosed = ambiguous.groupBy(*where).agg(F.coalesce(F.sum("strength"), F.lit(0.0)).alias("strength"))
+    weighted = F.col("strength") * F.when(F.col("term").startswith(">"), AFTER).otherwise(1.0)
+    disclosed = ambiguous.groupBy(*where).agg(F.coalesce(F.sum(weighted), F.lit(0.0)).alias("strength"))
     certain = found.where("sure").select(*where, F.lit(math.inf).alias("strength"))
     both = certain.unionByName(disclosed.where(F.col("strength") > THRESHOLD))
     # of two readings of one number the one that the terms speak for more
