@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import storage
+from tidemark.engine import Engine
+from tidemark.functions.tags import scope, series_key, tag_terms
+from tidemark.model import EngineConfig, SegmentConfig
+from tidemark.operators import query as q
+from tidemark.operators.cardinality import admit
 from tidemark.operators import grid, incremental, late, rolling, small_files, spikes
+from tidemark.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +181,338 @@ SQL["p7_hourly"] = f"""
 WITH {LATE}, f AS (SELECT *, NOT late AND NOT isnan(value) AND NOT isinf(value) AS used FROM marked)
 SELECT series, hour, count(*) FILTER (used) AS points, round(sum(value) FILTER (used), 6) AS total, min(value) FILTER (used) AS low,
  max(value) FILTER (used) AS high, count(*) FILTER (late) AS left_out FROM f GROUP BY 1, 2"""
+
+
+# ---- storage and retrieval, over events as points
+
+P = """p AS (SELECT event_type AS series, epoch_us(ts) * 1000 AS ts, event_id AS seq, value,
+ CAST(user_id AS VARCHAR) AS u, json_extract_string(props, '$.k') AS k FROM events)"""
+# Times of the queries, in ns: 2024-01-08, 2024-01-15 and 2024-01-22, 0 h UTC.
+A, MID, B = 1704672000000000000, 1705276800000000000, 1705881600000000000
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.from_events(table(spark, d, "events"))
+
+
+def _engine(spark: SparkSession, **segment_config) -> Engine:
+    return Engine(spark, storage.new_path(spark, "engine"), EngineConfig(enable_wal=False, segment_store=SegmentConfig(**segment_config)))
+
+
+def _day_engine(spark: SparkSession, d: str, cuts: tuple[int, ...] = (A, MID, B)) -> Engine:
+    """Events in four segments by time, with the numbers that the events have."""
+    e, points = _engine(spark), _events(spark, d)
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = points
+        part = part if lo is None else part.where(F.col("ts") >= lo)
+        part = part if hi is None else part.where(F.col("ts") < hi)
+        e._store(part)
+    return e
+
+
+@query
+def range_scan(spark, d):
+    return q.select_points(_events(spark, d), "error", A, B)
+
+
+SQL["range_scan"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'error' AND ts >= {A} AND ts < {B}"
+
+
+@query
+def range_boundary(spark, d):
+    points = _events(spark, d)
+    lo, hi = points.where("series = 'error'").agg(F.min("ts"), F.max("ts")).first()
+    return q.select_points(points, "error", lo, hi)
+
+
+SQL["range_boundary"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'error' AND ts < (SELECT max(ts) FROM p WHERE series = 'error')"
+
+
+@query
+def tag_filter_single(spark, d):
+    return q.select_points(_events(spark, d), "view", tags={"k": "39"})
+
+
+SQL["tag_filter_single"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'view' AND k = '39'"
+
+
+@query
+def tag_filter_and(spark, d):
+    return q.select_points(_events(spark, d), "view", tags={"k": "39", "user": "7"})
+
+
+SQL["tag_filter_and"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'view' AND k = '39' AND u = '7'"
+
+
+@query
+def tag_filter_empty(spark, d):
+    return q.select_points(_events(spark, d), "view", tags={})
+
+
+SQL["tag_filter_empty"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'view'"
+
+
+@query
+def tag_filter_nomatch(spark, d):
+    return q.select_points(_events(spark, d), "view", tags={"k": "39", "rack": "r1"})
+
+
+SQL["tag_filter_nomatch"] = f"WITH {P} SELECT ts, value FROM p WHERE false"
+
+
+@query
+def retention_visible(spark, d):
+    e = _day_engine(spark, d)
+    e.set_delete_before(MID)
+    return e.query("click", A)
+
+
+SQL["retention_visible"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'click' AND ts >= greatest({A}, {MID})"
+
+
+@query
+def segment_union_bag(spark, d):
+    e, points = _engine(spark), _events(spark, d)
+    e._store(points.where(F.col("ts") < B))
+    e._store(points.where(F.col("ts") >= A))
+    return e.query("purchase")
+
+
+SQL["segment_union_bag"] = f"""WITH {P} SELECT ts, value FROM p WHERE series = 'purchase' AND ts < {B}
+UNION ALL SELECT ts, value FROM p WHERE series = 'purchase' AND ts >= {A}"""
+
+
+@query
+def compaction_preserves(spark, d):
+    e = _day_engine(spark, d)
+    e.compact()
+    return e.query("signup", tags={"k": "5"})
+
+
+SQL["compaction_preserves"] = f"WITH {P} SELECT ts, value FROM p WHERE series = 'signup' AND k = '5'"
+
+
+@query
+def reclaim_physical(spark, d):
+    e = _day_engine(spark, d)
+    e.set_delete_before(MID + 3_600_000_000_000)
+    e.reclaim()
+    return e.points().select("series", "ts", "seq", "value")
+
+
+SQL["reclaim_physical"] = f"WITH {P} SELECT series, ts, seq, value FROM p WHERE ts >= {MID} + 3600000000000"
+
+
+@query
+def ingest_drop_late(spark, d):
+    e = _engine(spark)
+    e.set_delete_before(MID)
+    e.ingest(_events(spark, d).drop("seq"), order=["ts"])
+    e.flush()
+    return e.points().select("series", "ts", "value")
+
+
+SQL["ingest_drop_late"] = f"WITH {P} SELECT series, ts, value FROM p WHERE ts >= {MID}"
+
+
+@query
+def ingest_sequence(spark, d):
+    e = _engine(spark)
+    e.ingest(_events(spark, d).drop("seq"), order=["ts"])
+    e.flush()
+    return e.points().select("series", "ts", "seq")
+
+
+SQL["ingest_sequence"] = f"WITH {P} SELECT series, ts, row_number() OVER (ORDER BY ts) - 1 AS seq FROM p"
+
+
+@query
+def series_stats(spark, d):
+    return q.series_stats(_events(spark, d))
+
+
+SQL["series_stats"] = f"WITH {P} SELECT series, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_points, max(seq) AS max_seq FROM p GROUP BY series"
+
+
+@query
+def segment_stats(spark, d):
+    rows = [(s.segment_id, s.min_ts, s.max_ts, s.rows, s.max_seq) for s in _day_engine(spark, d).manifest.segments]
+    return spark.createDataFrame(rows, "segment_id long, min_ts long, max_ts long, n_points long, max_seq long")
+
+
+SQL["segment_stats"] = f"""WITH {P} SELECT CAST(1 + (ts >= {A})::INT + (ts >= {MID})::INT + (ts >= {B})::INT AS BIGINT) AS segment_id,
+ min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_points, max(seq) AS max_seq FROM p GROUP BY 1"""
+
+
+@query
+def max_persisted_seq(spark, d):
+    return spark.createDataFrame([(_day_engine(spark, d).manifest.max_persisted_seq,)], "max_seq long")
+
+
+SQL["max_persisted_seq"] = f"WITH {P} SELECT max(seq) AS max_seq FROM p"
+
+
+@query
+def zone_map_segments(spark, d):
+    from tidemark.plans.pruning import choose
+
+    found = choose(spark, _day_engine(spark, d).manifest.segments, "view", A, MID, None)
+    return spark.createDataFrame([(s.segment_id,) for s in found.read], "segment_id long")
+
+
+SQL["zone_map_segments"] = f"""WITH {P}, s AS (SELECT CAST(1 + (ts >= {A})::INT + (ts >= {MID})::INT + (ts >= {B})::INT AS BIGINT) AS segment_id,
+ min(ts) AS lo, max(ts) AS hi FROM p WHERE series = 'view' GROUP BY 1) SELECT segment_id FROM s WHERE hi >= {A} AND lo < {MID}"""
+
+
+@query
+def series_cardinality(spark, d):
+    points = _events(spark, d)
+    return q.cardinality(points, scope("tags", "user"))
+
+
+SQL["series_cardinality"] = f"WITH {P} SELECT u AS scope, count(DISTINCT (series, u, k)) AS series_keys FROM p GROUP BY u"
+
+
+@query
+def series_keys_distinct(spark, d):
+    key = series_key().alias("key")
+    return _events(spark, d).select(key).distinct().select("key.series", F.to_json("key.tags").alias("key_tags"))
+
+
+SQL["series_keys_distinct"] = f"""WITH {P} SELECT DISTINCT series, '[{{"key":"k","value":"' || k || '"}},{{"key":"user","value":"' || u || '"}}]' AS key_tags FROM p"""
+
+ADMITTED = f"""{P}, f AS (SELECT series, u, k, min(seq) AS first FROM p GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY first) AS n FROM f)"""
+
+
+def _by_series(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their type as a tag, so that it can be the scope."""
+    return _events(spark, d).withColumn("tags", F.map_concat("tags", F.create_map(F.lit("type"), F.col("series"))))
+
+
+@query
+def cardinality_admit(spark, d):
+    return admit(_by_series(spark, d), 10, "type")[0].select("series", "ts", "seq", "value")
+
+
+SQL["cardinality_admit"] = f"WITH {ADMITTED} SELECT series, ts, seq, value FROM p JOIN r USING (series, u, k) WHERE n <= 10"
+
+
+@query
+def cardinality_reject(spark, d):
+    return admit(_by_series(spark, d), 10, "type")[1].select("series", "ts", "seq", "value")
+
+
+SQL["cardinality_reject"] = f"WITH {ADMITTED} SELECT series, ts, seq, value FROM p JOIN r USING (series, u, k) WHERE n > 10"
+
+
+@query
+def tag_postings(spark, d):
+    return tag_terms(_events(spark, d), "series")
+
+
+SQL["tag_postings"] = f"WITH {P} SELECT DISTINCT series, 'user' AS k, u AS v FROM p UNION SELECT DISTINCT series, 'k', k FROM p"
+
+
+@query
+def postings_pruned_query(spark, d):
+    return _day_engine(spark, d).query("view", tags={"k": "39", "user": "7"})
+
+
+SQL["postings_pruned_query"] = SQL["tag_filter_and"]
+
+
+@query
+def replay_tail(spark, d):
+    e, points = Engine(spark, storage.new_path(spark, "engine")), _events(spark, d)
+    e._store(points.where(F.col("seq") <= 500))
+    e.wal.append(points.where(F.col("seq") > 250), 251)
+    e = Engine(spark, e.path)
+    e.recover()
+    return e.points().select("series", "ts", "seq", "value")
+
+
+SQL["replay_tail"] = f"WITH {P} SELECT series, ts, seq, value FROM p"
+
+
+@query
+def sorted_points(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series").orderBy("ts", "seq")
+    return _events(spark, d).select("series", "ts", "seq", F.row_number().over(w).cast("long").alias("at"))
+
+
+SQL["sorted_points"] = f"WITH {P} SELECT series, ts, seq, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS at FROM p"
+
+
+@query
+def snapshot_roundtrip(spark, d):
+    e = _engine(spark)
+    e._store(_events(spark, d))
+    e.snapshot()
+    e.restore()
+    return e.points().select("series", "ts", "seq", "value", F.col("tags")["k"].alias("k"))
+
+
+SQL["snapshot_roundtrip"] = f"WITH {P} SELECT series, ts, seq, value, k FROM p"
+
+
+@query
+def delete_range(spark, d):
+    e = _day_engine(spark, d)
+    e.delete("view", A, MID, {"k": "39"})
+    return e.points().select("series", "ts", "seq", "value")
+
+
+SQL["delete_range"] = f"WITH {P} SELECT series, ts, seq, value FROM p WHERE NOT (series = 'view' AND ts >= {A} AND ts < {MID} AND k = '39')"
+
+
+@query
+def stream_ingest(spark, d):
+    from tidemark.streaming.sink import write_stream
+
+    e = _engine(spark)
+    source = storage.new_path(spark, "stream")
+    _events(spark, d).drop("seq").repartition(3).write.parquet(source)
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    write_stream(rows, e, "events", storage.new_path(spark, "offsets")).awaitTermination()
+    return e.points().select("series", "ts", "value")
+
+
+SQL["stream_ingest"] = f"WITH {P} SELECT series, ts, value FROM p"
+
+
+@query
+def list_series(spark, d):
+    return q.list_series(_events(spark, d), {"k": "39"})
+
+
+SQL["list_series"] = f"WITH {P} SELECT DISTINCT series FROM p WHERE k = '39'"
+
+
+@query
+def downsample_hourly(spark, d):
+    return q.downsample(_events(spark, d), 3_600_000_000_000).drop("total")
+
+
+SQL["downsample_hourly"] = f"""WITH {P} SELECT series, ts // 3600000000000 * 3600000000000 AS slot_start, count(*) AS n_points, min(value) AS low,
+ max(value) AS high, arg_min(value, (ts, seq)) AS first_value, arg_max(value, (ts, seq)) AS last_value FROM p GROUP BY 1, 2"""
+
+
+@query
+def lineitem_series(spark, d):
+    return q.select_points(adapters.from_lineitem(table(spark, d, "lineitem")), "R", tags={"supplier": "1"})
+
+
+SQL["lineitem_series"] = "SELECT epoch_us(l_shipdate) * 1000 AS ts, l_extendedprice AS value FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = 1"
+
+
+@query
+def orders_series(spark, d):
+    return q.series_stats(adapters.from_orders(table(spark, d, "orders")))
+
+
+SQL["orders_series"] = """SELECT o_orderpriority AS series, min(epoch_us(o_orderdate) * 1000) AS min_ts, max(epoch_us(o_orderdate) * 1000) AS max_ts,
+ count(*) AS n_points, max(o_orderkey) AS max_seq FROM orders GROUP BY 1"""
