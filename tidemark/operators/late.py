@@ -103,7 +103,7 @@ class LambdaHours:
     def __init__(self, log: DataFrame, catalog: DataFrame):
         self.log, self.catalog, self.spark = log, catalog, log.sparkSession
         self.batch_view: DataFrame | None = None
-        self.fast_steps: list[tuple[int, DataFrame]] = []
+        self.fast_steps: list[tuple[int | None, int, DataFrame]] = []  #: (from, to, increments)
         self.seen: DataFrame | None = None
         self.next_seq: int | None = None
 
@@ -113,15 +113,20 @@ class LambdaHours:
 
     def fast(self, to_seq: int) -> None:
         """Provisional increments of the records that arrived since the last step and before ``to_seq``."""
-        part = self.log.where(F.col("seq") < to_seq)
-        if self.next_seq is not None:
-            part = part.where(F.col("seq") >= self.next_seq)
-        step = storage.staged(hourly(with_cutoff(part, self.catalog, self.seen)), "fast")
-        seen = self._greatest_times(part)
+        step = self._step(self.next_seq, to_seq, self.seen)
+        seen = self._greatest_times(self._part(self.next_seq, to_seq))
         if self.seen is not None:
             seen = self.seen.unionByName(seen).groupBy("series").agg(F.max("seen").alias("seen"))
         seen = storage.staged(seen, "seen")
-        self.seen, self.next_seq, self.fast_steps = seen, to_seq, [*self.fast_steps, (to_seq, step)]
+        self.seen, self.fast_steps, self.next_seq = seen, [*self.fast_steps, step], to_seq
+
+    def _part(self, from_seq: int | None, to_seq: int) -> DataFrame:
+        part = self.log.where(F.col("seq") < to_seq)
+        return part if from_seq is None else part.where(F.col("seq") >= from_seq)
+
+    def _step(self, from_seq: int | None, to_seq: int, seen: DataFrame | None) -> tuple[int | None, int, DataFrame]:
+        marked = with_cutoff(self._part(from_seq, to_seq), self.catalog, seen)
+        return from_seq, to_seq, storage.staged(hourly(marked), "fast")
 
     def batch(self, to_seq: int | None = None) -> None:
         """Recompute the open hours from the log before ``to_seq`` (all of it if None); freeze those past cut-off."""
@@ -146,15 +151,18 @@ class LambdaHours:
         view = view.drop("frozen_to")
         if frozen is not None:
             view = frozen.unionByName(view)
-        self.batch_view = storage.staged(view, "batch")
-        self.fast_steps = [] if to_seq is None else [s for s in self.fast_steps if s[0] > to_seq]
+        view = storage.staged(view, "batch")
+        later = [] if to_seq is None else [s for s in self.fast_steps if s[1] > to_seq]
+        # of a step that the batch reaches into, only the rest is kept
+        later = [s if s[0] is not None and s[0] >= to_seq else self._step(to_seq, s[1], seen) for s in later]
+        self.batch_view, self.fast_steps = view, later
         if to_seq is not None and (self.next_seq is None or to_seq > self.next_seq):
             self.seen, self.next_seq = seen, to_seq
 
     def serve(self) -> DataFrame:
         """``series, hour, points, total, low, high, left_out`` of the batch view plus the steps after it."""
         names = ["series", "hour", "points", "total", "low", "high", "left_out"]
-        parts = [step.select(*names) for _, step in self.fast_steps]
+        parts = [step.select(*names) for _, _, step in self.fast_steps]
         if self.batch_view is not None:
             parts.insert(0, self.batch_view.select(*names))
         if not parts:

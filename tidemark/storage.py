@@ -57,7 +57,11 @@ def delete(spark: SparkSession, path: str) -> None:
 def rename(spark: SparkSession, old: str, new: str) -> None:
     """Move ``old`` to ``new``; an existing ``new`` is an error."""
     fs, p = hadoop_path(spark, old)
-    if not fs.rename(p, hadoop_path(spark, new)[1]):
+    target = hadoop_path(spark, new)[1]
+    if fs.exists(target):  # a rename onto a folder would put the old one inside it
+        raise FileExistsError(f"{new} exists")
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
         raise OSError(f"cannot move {old} to {new}")
 
 
