@@ -68,7 +68,7 @@ def _next(left: list[int], waiting: dict[int, list], room: int) -> int:
     return longest
 
 
-PACKED = "target_id int, container_id long, step_group long, tier int, doc_id {key}, piece int, piece_start int, piece_tokens int, container_start int"
+PACKED = "target_id int, container_id long, step_group long, tier int, doc_id string, piece int, piece_start int, piece_tokens int, container_start int"
 
 
 def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,7 +112,7 @@ def pack(documents: DataFrame, targets: DataFrame, folder: str = tokenize.FOLDER
     goals = [tuple(r) for r in targets.where("tokenizer is not null and capacity > 0").select("target_id", "tokenizer", "capacity").distinct().collect()]
     key = documents.schema["doc_id"].dataType.simpleString()
     if not goals:
-        return spark.createDataFrame([], PACKED.format(key=key))
+        return spark.createDataFrame([], PACKED).withColumn("doc_id", F.col("doc_id").cast(key))
     names = sorted({g[1] for g in goals})
     sized = storage.staged(tokenize.sizes(documents, names, folder).withColumn("uid", F.monotonically_increasing_id()), "sizes")
     per_goal = F.array(
@@ -121,11 +121,13 @@ def pack(documents: DataFrame, targets: DataFrame, folder: str = tokenize.FOLDER
             for t, n, c in goals
         ]
     )
-    items = sized.select("doc_id", "uid", F.inline(per_goal))
+    # ids pass through pandas as text, where a null would turn numbers into floats
+    items = sized.select(F.col("doc_id").cast("string").alias("doc_id"), "uid", F.inline(per_goal))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))).cast("int")
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     start = F.col("piece") * F.col("capacity")
     items = items.withColumns({"piece_start": start, "piece_tokens": F.least(F.col("capacity"), F.col("size") - start)})
     shards = max(1, -(-sized.count() // shard_items))
     items = items.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-    return items.groupBy("target_id", "shard").applyInPandas(_pack_shard, PACKED.format(key=key))
+    packed = items.groupBy("target_id", "shard").applyInPandas(_pack_shard, PACKED)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(key))

@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,8 @@ ADDRESS = re.compile(
     rf"(?<![\w.,/\-]){_NO},?[ ]+(?:(?!and\b|or\b|of\b|in\b|the\b|a\b|to\b|days?\b|hours?\b|minutes?\b|weeks?\b|months?\b|years?\b|stars?\b|by\b|my\b)[^\W\d_][^\W\d_'’\-]*[ ]+){{1,3}}{_EN_TYPES}(?![^\W_])"
     rf"|(?<![\w.,/\-]){_NO},?[ ]+(?:(?-i:[A-Z])[^\W\d_'’\-]*[ ]+){{1,3}}(?-i:{_EN_MORE})(?![^\W_])"
     rf"|(?<![\w.,/\-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?[ ]?,?[ ]+{_FR_TYPES}[ ]+(?:(?:de|du|des|la|le|les|aux?|à|st|saint|sainte)[ ]+|[ld]['’]){{0,3}}[^\W\d_][\w'’\-]*"
-    rf"|(?<![^\W_])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*[ \-]?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ring|ufer|damm|steig|chaussee)[ ]+{_NO}(?![\w/]|[.,]\d)"
+    rf"|(?<![^\W_])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*(?:-?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee)|[ ](?-i:Stra(?:ß|ss)e|Str\.))[ ]+{_NO}(?![\w/]|[.,]\d)"
+    rf"|(?<![^\W_])(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:-[^\W\d_]+)*-?(?-i:[Pp]latz|[Uu]fer|[Dd]amm|[Ss]teig|[Cc]haussee)[ ]+{_NO}(?![\w/]|[.,]\d)"
     rf"|(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)",
     re.I,
 )
@@ -531,20 +533,20 @@ def sanitised(documents: DataFrame, known_names: DataFrame, items: DataFrame) ->
     d = with_uid(documents, "doc_id", "text")
     s = spans(d, known_names, items).groupBy("uid").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("cases"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, cases in zip(batch["text"], batch["cases"]):
-                cases = [] if cases is None else sorted((c["start"], c["stop"], c["kind"]) for c in cases)
+            for text, cases in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 out, at, n = [], 0, 0
-                for start, stop, kind in cases:
-                    if start < at:
+                for c in sorted(cases or [], key=lambda c: (c["start"], c["stop"])):
+                    if c["start"] < at:
                         continue
-                    out += [text[at:start], PLACEHOLDERS[kind]]
-                    at, n = stop, n + 1
+                    out += [text[at : c["start"]], PLACEHOLDERS[c["kind"]]]
+                    at, n = c["stop"], n + 1
                 texts.append(None if text is None else "".join([*out, text[at:]]))
                 counts.append(n)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "replaced": counts})
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "replaced"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return d.join(s, "uid", "left").select("doc_id", "text", "cases").mapInPandas(run, f"doc_id {kind}, text string, replaced int")
+    return d.join(s, "uid", "left").select("doc_id", "text", "cases").mapInArrow(run, f"doc_id {kind}, text string, replaced int")
