@@ -105,7 +105,7 @@ def _edge_arrays(raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A block in one row: its readings in order, each once, and what its source must know of it."""
     ts, value = rows["ts"].to_numpy(np.int64), rows["value"].to_numpy(float)
-    seq = rows["seq"].fillna(-1).to_numpy(np.int64)
+    seq = rows["seq"].to_numpy(np.int64)
     order = np.lexsort((value, seq, ts))
     ts, seq, value = ts[order], seq[order], value[order]
     again = np.zeros(len(ts), bool)
@@ -469,7 +469,7 @@ def judged(points: DataFrame, catalog: DataFrame, all_readings: bool = True) ->
     as -1. A source that the catalog lacks has no limits. Empty tables give an empty result; further columns are ignored.
     """
     spark = points.sparkSession
-    p = clean_points(points).select("series", "ts", "seq", F.coalesce("value", F.lit(float("nan"))).alias("value"))
+    p = clean_points(points).select("series", "ts", F.coalesce("seq", F.lit(-1)).alias("seq"), F.coalesce("value", F.lit(float("nan"))).alias("value"))
     numbered = p.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
     numbered = numbered.join(limits(catalog), "series", "left")
     dense = F.row_number().over(Window.partitionBy("lane").orderBy("series")) - 1
