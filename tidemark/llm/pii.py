@@ -452,7 +452,8 @@ def evidence(documents: DataFrame, known: list, brands: list) -> DataFrame:
                     if m.group(0)[0].isupper():
                         counts["seen"]["=" + _flat(m.group(0))] += 1
             terms = sorted(set().union(*counts.values()))
-            yield pd.DataFrame({"term": terms, **{k: [c[x] for x in terms] for k, c in counts.items()}})
+            if terms:
+                yield pd.DataFrame({"term": terms, **{k: [c[x] for x in terms] for k, c in counts.items()}})
 
     kinds = ("phone", "id_number", "thing", "name", "seen")
     rows = documents.select("text").mapInPandas(run, "term string, " + ", ".join(f"{k} long" for k in kinds))
@@ -494,7 +495,8 @@ def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> Dat
                 for f in find_forms(t, names):
                     stop = place[f.end] if f.end < len(place) else len(text)
                     rows.append((uid, f.kind, place[f.start], stop, f.sure, list(f.terms)))
-            yield pd.DataFrame(rows, columns=["uid", "kind", "start", "stop", "sure", "terms"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["uid", "kind", "start", "stop", "sure", "terms"])
 
     found = storage.staged(documents.select("uid", "text").mapInPandas(run, SPANS), "forms")
     where = ["uid", "kind", "start", "stop"]
