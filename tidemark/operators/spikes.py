@@ -452,7 +452,8 @@ def _each(f: Callable, columns: str, many: bool = False) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for _, b in batch.iterrows() for r in (f(b) if many else [f(b)])]
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return run
 
