@@ -81,7 +81,7 @@ def test_pack_lengths():
 @pytest.mark.parametrize("shard", [7, 100_000])
 def test_pack_round_trip(spark, shard):
     rnd = random.Random(5)
-    rows = [(i, "word " * rnd.choice([0, 1, 5, 20, 60, 200])) for i in range(60)] + [(100, None), (101, ""), (102, "w " * 3000), (5, "again"), (None, "null id")]
+    rows = [(i, "word " * rnd.choice([0, 1, 5, 20, 60, 200])) for i in range(60)] + [(100, None), (101, ""), (102, "w " * 3000), (103, "again"), (103, "again"), (None, "null id")]
     goals = spark.createDataFrame([(1, "byte_bpe_50k", 128), (2, "byte_bpe_multi_50k", 64), (3, None, 5), (4, "byte_bpe_50k", 0)], "target_id int, tokenizer string, capacity int")
     got = packing.pack(documents(spark, rows), goals, shard_items=shard).toPandas()
     for target, name, capacity in ((1, "byte_bpe_50k", 128), (2, "byte_bpe_multi_50k", 64)):
