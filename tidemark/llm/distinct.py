@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clean import day_of
 
-BUCKET_BITS = 12  #: the hash range is cut into 2 ** BUCKET_BITS ranges
+BUCKET_BITS = 16  #: the hash range is cut into 2 ** BUCKET_BITS ranges
 GROUPS = ("day", "scope", "region")
 
 
