@@ -46,6 +46,7 @@ class Engine:
         self.memory: list[DataFrame] = []  # all flushed points, if segments are off
         self.next_seq = self.manifest.next_seq
         self._last_retention = None
+        self.background: Background | None = None
         self.tracker: CardinalityTracker | None = None
         if self.config.max_series_cardinality is not None:
             self._open_tracker()
@@ -57,8 +58,21 @@ class Engine:
         self.close()
 
     def close(self) -> None:
+        """Stop what runs in the background and flush."""
+        self.stop()
         self.flush()
 
+    def start(self) -> None:
+        """Flush, maintain and snapshot at the intervals of the settings, in a thread of the driver."""
+        if self.background is None:
+            self.background = Background(self)
+            self.background.start()
+
+    def stop(self) -> None:
+        if self.background is not None:
+            self.background.stop()
+            self.background = None
+
     # ---- cardinality
 
     def _keys_path(self) -> str:
@@ -445,3 +459,34 @@ class Engine:
 
     def get_manifest(self) -> Manifest:
         return self.manifest
+
+
+class Background(threading.Thread):
+    """The loop of an engine: at most one piece of work at a time, each as often as its interval says."""
+
+    def __init__(self, engine: Engine):
+        super().__init__(daemon=True, name="tidemark-background")
+        self.engine, self._end = engine, threading.Event()
+        c = engine.config
+        self._work = [(c.flush_interval_s, engine.flush)]
+        if c.enable_segments:
+            self._work.append((c.segment_store.compaction_check_interval_s, engine.maintain))
+        if c.enable_snapshots:
+            self._work.append((c.snapshot_interval_s, engine.snapshot))
+
+    def run(self) -> None:
+        self.engine._event("FlushThreadStarted")
+        due = [time.monotonic() + every for every, _ in self._work]
+        while not self._end.wait(max(0.0, min(due) - time.monotonic())):
+            for k, (every, work) in enumerate(self._work):
+                if time.monotonic() >= due[k]:
+                    try:
+                        work()
+                    except Exception as e:  # the next round tries again; nothing was committed
+                        self.engine._event("BackgroundWorkFailed", work=work.__name__, error=str(e))
+                    due[k] = time.monotonic() + every
+        self.engine._event("FlushThreadStopping")
+
+    def stop(self) -> None:
+        self._end.set()
+        self.join()

@@ -98,8 +98,10 @@ def drop(staged_df: DataFrame) -> None:
 
 
 @atexit.register
-def _clear() -> None:
-    for spark, path in _staged:
+def clear() -> None:
+    """Delete all staged tables of this process; results that still read them can then not be computed again."""
+    while _staged:
+        spark, path = _staged.pop()
         try:
             delete(spark, path)
         except Exception:  # the session may be gone; then the shared folder's owner clears it
