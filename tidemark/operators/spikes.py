@@ -41,7 +41,9 @@ TREES, SAMPLE, DEPTH = 50, 128, 7  #: of an isolation forest; SAMPLE is drawn fo
 BROADCAST_BYTES = 32 << 20  #: summaries up to this size are sent to all executors, larger ones are joined by shuffle
 BLOCKS_AT_A_TIME = 8  #: blocks in an Arrow batch
 
-NOT_FINITE, LIMIT, JUMPS, STARTS = 1, 2, 4, 8  #: flags of a reading
+NOT_FINITE, LIMIT, JUMPS, STARTS, DISPLACED = 1, 2, 4, 8, 16  #: flags of a reading
+RULED = NOT_FINITE | LIMIT | DISPLACED  #: flags of readings that the forest does not judge
+EARLY = 8  #: a reading is displaced if at least so many arrivals lie between it and the earliest of its neighbours
 
 
 def limits(catalog: DataFrame) -> DataFrame:
@@ -195,6 +197,23 @@ def departures(y: np.ndarray, noise: float) -> np.ndarray:
     return best
 
 
+def displaced(seq: np.ndarray, y: np.ndarray, noise: float) -> np.ndarray:
+    """Readings that arrived long before the three on either side of them in time: the sender's clock ran ahead.
+
+    Their values belong to another time, so they say nothing about this one. A late batch, sent newest first, is in
+    reverse order too, but its readings arrive one right after the other. A reading that equals both neighbours stays.
+    """
+    n, far = len(seq), np.int64(1) << 62
+    if n < 4:
+        return np.zeros(n, bool)
+    q = np.concatenate([[-far] * 3, seq, [far] * 3])
+    earlier = np.minimum.reduce([q[0:n], q[1 : n + 1], q[2 : n + 2]])
+    later = np.minimum.reduce([q[4 : n + 4], q[5 : n + 5], q[6 : n + 6]])
+    same = np.abs(np.diff(y)) <= SAME * noise
+    fits = np.r_[True, same] & np.r_[same, True]
+    return (seq + EARLY < earlier) & (seq + EARLY < later) & ~fits
+
+
 def _rounded(x: np.ndarray) -> np.ndarray:
     return np.minimum(LEVELS - 1, np.floor(4 * np.log2(1 + x))).astype(np.int32)
 
@@ -214,7 +233,7 @@ def _features(b: pd.Series) -> tuple:
     """
     ts0, seq0, value0 = (np.frombuffer(b[c], t) for c, t in (("ts", np.int64), ("seq", np.int64), ("value", float)))
     before, after = _edge_arrays(b["before"]), _edge_arrays(b["after"])
-    ts, value = np.concatenate([before[0], ts0, after[0]]), np.concatenate([before[2], value0, after[2]])
+    ts, seq, value = (np.concatenate([before[i], x, after[i]]) for i, x in enumerate((ts0, seq0, value0)))
     mine = slice(len(before[0]), len(before[0]) + len(ts0))
     n = len(ts)
     noise = float(b["noise"])
@@ -225,6 +244,9 @@ def _features(b: pd.Series) -> tuple:
     level, jump, seasonal, held = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int32)
     pieces, long_runs, lengths, runs, joins = np.zeros((3, 0)), np.zeros((3, 0)), np.zeros(0, np.int64), 0, False
     at = np.flatnonzero(finite & ~outside)
+    moved = displaced(seq[at], value[at], noise)
+    flags[at[moved]] |= DISPLACED
+    at = at[~moved]
     y = value[at]
     if noise > 0 and len(at) > 2:
         # readings of one time and value, sent twice, are one reading here
@@ -327,7 +349,7 @@ def _runs(blocks: pd.DataFrame) -> pd.DataFrame:
 def _full_codes(b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes with the fourth feature, flags, and whether the run of a reading is too long."""
     codes, flags = np.frombuffer(b["codes"], np.int32), np.frombuffer(b["flags"], np.uint8)
-    usable = np.flatnonzero((flags & (NOT_FINITE | LIMIT)) == 0)
+    usable = np.flatnonzero((flags & RULED) == 0)
     share = np.zeros(len(codes))
     if len(usable):
         length = np.frombuffer(b["held"], np.int32)[usable].astype(float)
@@ -346,7 +368,7 @@ def _full_codes(b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _weights(b: pd.Series) -> Iterator[tuple]:
     codes, flags, _ = _full_codes(b)
-    usable = (flags & (NOT_FINITE | LIMIT)) == 0
+    usable = (flags & RULED) == 0
     distinct, where = np.unique(codes[usable], return_inverse=True)
     first = np.bincount(where, (flags[usable] & STARTS) > 0, len(distinct)) if len(distinct) else []
     for c, w in zip(distinct.tolist(), first):
@@ -430,7 +452,7 @@ DECIDED = "source int, seq long, ts long, value double, score double, reason int
 def _decide(b: pd.Series, all_readings: bool) -> pd.DataFrame:
     codes, flags, stuck = _full_codes(b)
     score = np.ones(len(codes))
-    usable = (flags & (NOT_FINITE | LIMIT)) == 0
+    usable = (flags & RULED) == 0
     if usable.any() and b["known"] is not None:
         known = np.frombuffer(b["known"], np.int32)
         score[usable] = np.frombuffer(b["scores"], float)[np.searchsorted(known, codes[usable])]
@@ -465,7 +487,8 @@ def judged(points: DataFrame, catalog: DataFrame, all_readings: bool = True) ->
     null. All readings are scored; with ``all_readings`` false, those without a reason are left out of the result.
 
     Rows repeated as a whole count once. A null value is not finite. Readings that are not finite or beyond the limits are
-    outside the forest (score 1) and no neighbours to others. A source whose readings never change has neither
+    outside the forest (score 1) and no neighbours to others; so are readings whose arrival shows that their time is wrong
+    (see ``displaced``), which have no reason unless one of these two rules gives one. A source whose readings never change has neither
     spikes nor stuck runs, as its one run is its normal state. Rows without series or ts are left out; a missing seq is given
     as -1. A source that the catalog lacks has no limits. Empty tables give an empty result; further columns are ignored.
     """
