@@ -142,3 +142,12 @@ def test_replacement_and_odd_rows(spark):
     assert pii.found(*tables(spark, [])).count() == 0
     empty = [t.limit(0) for t in args[1:]]
     assert {r["pii_kind"] for r in pii.found(args[0], *empty).collect()} == {"email", "phone"}
+
+
+@pytest.mark.parametrize("unit", ["a", "ab-", "1", "a.", "+49 30 23125981 ", "Velen Xyzzy ", " at ", "1 a b c d ", "rue de la ", '"', "&", "Ã¸", "calle a b "])
+def test_long_texts_take_time_in_proportion(unit):
+    import time
+
+    began = time.process_time()
+    pii.find_forms(pii.normal_form(unit * (200_000 // len(unit)))[0], MODEL)
+    assert time.process_time() - began < 5

@@ -30,6 +30,7 @@ from tidemark import storage
 
 THRESHOLD = 0.0  #: sum of the log odds of its terms above which an ambiguous form is taken
 AFTER = 0.3  #: weight of the terms behind a number against those before it, which name it more often
+LONGEST_NAME = 40  #: letters of a name word
 BROADCAST_TERMS = 500_000  #: terms up to which their table is sent to all executors
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON]"}
 
@@ -164,8 +165,8 @@ ADDRESS = re.compile(
     rf"(?<![\w.,/\-]){_NO},?[ ]+(?:(?!and\b|or\b|of\b|in\b|the\b|a\b|to\b|days?\b|hours?\b|minutes?\b|weeks?\b|months?\b|years?\b|stars?\b|by\b|my\b)[^\W\d_][^\W\d_'’\-]*[ ]+){{1,3}}{_EN_TYPES}(?![^\W_])"
     rf"|(?<![\w.,/\-]){_NO},?[ ]+(?:(?-i:[A-Z])[^\W\d_'’\-]*[ ]+){{1,3}}(?-i:{_EN_MORE})(?![^\W_])"
     rf"|(?<![\w.,/\-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?[ ]?,?[ ]+{_FR_TYPES}[ ]+(?:(?:de|du|des|la|le|les|aux?|à|st|saint|sainte)[ ]+|[ld]['’]){{0,3}}[^\W\d_][\w'’\-]*"
-    rf"|(?<![^\W_])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*(?:-?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee)|[ ](?-i:Stra(?:ß|ss)e|Str\.))[ ]+{_NO}(?![\w/]|[.,]\d)"
-    rf"|(?<![^\W_])(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:-[^\W\d_]+)*-?(?-i:[Pp]latz|[Uu]fer|[Dd]amm|[Ss]teig|[Cc]haussee)[ ]+{_NO}(?![\w/]|[.,]\d)"
+    rf"|(?<![\w\-])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*(?:-?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee)|[ ](?-i:Stra(?:ß|ss)e|Str\.))[ ]+{_NO}(?![\w/]|[.,]\d)"
+    rf"|(?<![\w\-])(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:-[^\W\d_]+)*-?(?-i:[Pp]latz|[Uu]fer|[Dd]amm|[Ss]teig|[Cc]haussee)[ ]+{_NO}(?![\w/]|[.,]\d)"
     rf"|(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)",
     re.I,
 )
@@ -229,6 +230,8 @@ class NameModel:
         return got
 
     def _judge(self, word: str, kind: str) -> int:
+        if len(word) > LONGEST_NAME:
+            return 0
         w = word.lower()
         if _flat(w) in self.sets[kind]:
             return 2
@@ -242,7 +245,7 @@ class NameModel:
     def near(self, word: str, kind: str) -> bool:
         """One letter swapped, left out, put in or changed away from a name of the kind."""
         w = word.lower()
-        if len(w) < 5:
+        if not 5 <= len(w) <= LONGEST_NAME:
             return False
         for i in range(len(w)):
             if self.kind(w[:i] + w[i + 1 :], kind) or (i + 1 < len(w) and self.kind(w[:i] + w[i + 1] + w[i] + w[i + 2 :], kind)):
@@ -293,18 +296,18 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in taken)
+def _overlaps(taken: bytearray, a: int, b: int) -> bool:
+    return taken.find(1, a, b) >= 0
 
 
 def find_forms(t: str, names: NameModel) -> list[Form]:
     """Forms in a text in normal form; they do not overlap, except that an ambiguous number can have two readings."""
     out: list[Form] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(t))  # 1 where a character belongs to a form
 
     def take(f: Form) -> None:
         out.append(f)
-        taken.append((f.start, f.end))
+        taken[f.start : f.end] = b"\1" * (f.end - f.start)
 
     m = EMAIL.search(t)
     while m:
@@ -315,7 +318,7 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         take(Form("email", m.start(1), m.end(3), True))
         m = EMAIL.search(t, m.end())
     for m in re.finditer(r"(?<!\w)@[A-Za-z]\w+", t):
-        taken.append((m.start(), m.end()))
+        taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     for m in ADDRESS.finditer(t):
         if not _overlaps(taken, m.start(), m.end()):
             take(Form("address", m.start(), m.end(), True))
