@@ -56,6 +56,8 @@ def forms(text, kinds=None):
         ("Thanks to Velen MÃ¸nini for", "person_name", "Velen"),
         ("Thanks to Velen Dro​vini for", "person_name", "Velen"),
         ("Dr. Tolvini", "person_name", "Tolvini"),
+        ("Best regards, M. Tolvini", "person_name", "M."),
+        ("Très déçu, plastique bas de gamme. Merci à M. Tolvini pour son aide", "person_name", "Tolvini"),
     ],
 )
 def test_cases(text, kind, at):

@@ -345,11 +345,21 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
     return out
 
 
+# Frequent French words that are no words of the neighbouring languages.
+_FRENCH = frozenset("les des est et très pour une chez du au avec merci cordialement sans livré reçue jours dans mesures j qui vous".split())
+
+
+def _is_french(words: list[tuple[str, int, int]]) -> bool:
+    """Whether one word in fifteen is French; there, ``M.`` is a form of address and not an initial."""
+    n = sum(w.lower().split("'")[0].split("’")[0] in _FRENCH for w, _, _ in words)
+    return n >= 2 and n * 15 >= len(words)
+
+
 def _find_names(t: str, names: NameModel) -> list[Form]:
     """Family names with a given name, an initial or a form of address."""
     words = [(m.group(0), m.start(), m.end()) for m in _WORD.finditer(t)]
     out: list[Form] = []
-    done = -1
+    done, french = -1, None
 
     def family(w: str) -> int:
         ps = re.split(r"[-]", w)
@@ -385,8 +395,8 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
             k = j - 1
             if k >= 0 and re.fullmatch(r"[ ]{1,3}", t[words[k][2] : words[j][1]]) and given(words[k][0]):
                 form = (words[k][1], given(words[k][0]), words[k][0])
-            elif lead.lower() == "m" and not (k >= 0 and t[words[k][2] : words[j][1]] == ". "):
-                form = (with_particle, 2, "") if f else None
+            elif lead.lower() == "m" and (french := _is_french(words) if french is None else french):
+                form = (with_particle, 2, "")
             else:
                 form = (words[j][1], 2, "")
         elif j >= 0 and re.fullmatch(r"\.[ ]{1,3}", gap) and lead.lower() in TITLES and f:
@@ -408,7 +418,7 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
         titled = False
         if first:
             back = t[max(0, begin - 12) : begin]
-            titled = bool(re.search(r"(?i)(?<![^\W\d_])(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|mme|m|sr|sra|sig|pani?)\.?[ ]+\Z", back))
+            titled = bool(re.search(r"(?i)(?<![^\W\d_])(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|mme|m|mlle|sr|sra|sig|pani?)\.?[ ]+\Z", back))
         if first and names.is_brand(first, w) and not titled:
             continue
         if f:
