@@ -442,35 +442,50 @@ def _model(known: list, brands: list) -> NameModel:
     return _cache[key]
 
 
-def evidence(documents: DataFrame, known: list, brands: list) -> DataFrame:
-    """``term, phone, id_number, thing, name, seen``: how often each term stands by each certain form, over all documents."""
+FORMS = "uid long, kind string, start long, stop long, sure boolean, terms array<string>, n long"
+
+
+def read_forms(documents: DataFrame, known: list, brands: list) -> DataFrame:
+    """Forms of all texts, and what else the corpus teaches; every text is read once.
+
+    Rows of the kinds of ``PLACEHOLDERS`` are forms, with places in the original text. Rows without ``uid`` are evidence:
+    ``thing``, the terms next to a number that is certainly given to a thing; ``name``, the words of a name;
+    ``seen``, a capitalised word and how often (``n``) the texts of a batch have it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = _model(known, brands)
         for batch in batches:
-            counts: dict[str, Counter] = {k: Counter() for k in ("phone", "id_number", "thing", "name", "seen")}
-            for text in batch["text"]:
+            rows: list[tuple] = []
+            counts: dict[str, Counter] = {"thing": Counter(), "name": Counter(), "seen": Counter()}
+            for uid, text in zip(batch["uid"], batch["text"]):
                 if not text:
                     continue
-                t, _ = normal_form(text)
+                t, place = normal_form(text)
                 for f in find_forms(t, names):
-                    if f.kind in ("phone", "id_number") and f.sure:
-                        counts[f.kind].update(f.terms)
-                    elif f.kind == "person_name":
-                        word = _WORD.findall(t[f.start : f.end])
-                        counts["name"].update("=" + _flat(x) for x in word if len(x) > 2)
+                    stop = place[f.end] if f.end < len(place) else len(text)
+                    rows.append((uid, f.kind, place[f.start], stop, f.sure, list(f.terms), 1))
+                    if f.kind == "person_name":
+                        counts["name"].update("=" + _flat(x) for x in _WORD.findall(t[f.start : f.end]) if len(x) > 2)
                 for m in THING.finditer(t):
                     counts["thing"].update(_around(t, m.start(), m.end()))
                 for m in _WORD.finditer(t):
                     if m.group(0)[0].isupper():
                         counts["seen"]["=" + _flat(m.group(0))] += 1
-            terms = sorted(set().union(*counts.values()))
-            if terms:
-                yield pd.DataFrame({"term": terms, **{k: [c[x] for x in terms] for k, c in counts.items()}})
+            for kind, c in counts.items():
+                rows += [(None, kind, None, None, True, [term], n) for term, n in c.items()]
+            if rows:
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in FORMS.split(", ")])
+                yield out.astype({"uid": "Int64", "start": "Int64", "stop": "Int64"})
+
+    return documents.select("uid", "text").mapInPandas(run, FORMS)
 
+
+def evidence(forms: DataFrame) -> DataFrame:
+    """``term, phone, id_number, thing, name, seen``: how often each term stands by each certain form, over all documents."""
     kinds = ("phone", "id_number", "thing", "name", "seen")
-    rows = documents.select("text").mapInPandas(run, "term string, " + ", ".join(f"{k} long" for k in kinds))
-    return rows.groupBy("term").agg(*[F.sum(k).alias(k) for k in kinds])
+    rows = forms.where(F.col("sure") & F.col("kind").isin(*kinds)).select("kind", F.explode("terms").alias("term"), "n")
+    return rows.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
 
 
 def strengths(counts: DataFrame) -> DataFrame:
@@ -484,9 +499,6 @@ def strengths(counts: DataFrame) -> DataFrame:
     return counts.select("term", F.inline(each))
 
 
-SPANS = "uid long, kind string, start long, stop long, sure boolean, terms array<string>"
-
-
 def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> DataFrame:
     """``uid, kind, start, stop`` of every case, with positions in code points of the original text.
 
@@ -495,23 +507,9 @@ def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> Dat
     """
     known = sorted({(r[0], r[1]) for r in known_names.where("word is not null").select("word", "word_kind").collect()}, key=str)
     brands = sorted({r[0] for r in items.where("brand is not null").select("brand").distinct().collect()})
-    table = storage.staged(strengths(evidence(documents, known, brands)), "strengths")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = _model(known, brands)
-        for batch in batches:
-            rows = []
-            for uid, text in zip(batch["uid"], batch["text"]):
-                if not text:
-                    continue
-                t, place = normal_form(text)
-                for f in find_forms(t, names):
-                    stop = place[f.end] if f.end < len(place) else len(text)
-                    rows.append((uid, f.kind, place[f.start], stop, f.sure, list(f.terms)))
-            if rows:
-                yield pd.DataFrame(rows, columns=["uid", "kind", "start", "stop", "sure", "terms"])
-
-    found = storage.staged(documents.select("uid", "text").mapInPandas(run, SPANS), "forms")
+    forms = storage.staged(read_forms(documents, known, brands), "forms")
+    table = storage.staged(strengths(evidence(forms)), "strengths")
+    found = forms.where(F.col("uid").isNotNull())
     where = ["uid", "kind", "start", "stop"]
     if table.count() <= 3 * BROADCAST_TERMS:
         table = F.broadcast(table)
