@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -117,6 +118,9 @@ _AT = rf"(?:[ ]?@[ ]?|[ ]{{0,2}}[(\[{{][ ]?{_AT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{
 _DOT = rf"(?:\.|[ ]{{0,2}}[(\[{{][ ]?{_DOT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}})"
 _LOCAL = rf"(?:\"[^\"\n]{{1,64}}\"|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]+(?:(?:\.|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[ ]?[(\[]{_DOT_WORD}[)\]][ ]?)[A-Za-z0-9_%+\-]+)*)"
 EMAIL = re.compile(rf"({_LOCAL})({_AT})([A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}([A-Za-z]{{2,24}}))(?![A-Za-z0-9]|[ ]?@)", re.I)
+#: a spelled "at" with something like a host name behind it; to be tried on small letters
+_AT_HINT = re.compile(rf"[ (\[{{]{_AT_WORD}[ )\]}}][ ]{{0,2}}[a-z0-9\-]+[ ]{{0,2}}(?:\.[a-z0-9]|[(\[{{][ ]?{_DOT_WORD}|{_DOT_WORD}[ ])")
+_HANDLE = re.compile(r"(?<!\w)@[A-Za-z]\w+")
 _DOMAINS = frozenset("com net org info edu gov biz io eu co uk de fr es it pl jp us example test invalid localhost".split())
 
 _SEP = r"[ .\-/]"
@@ -130,10 +134,11 @@ SURE_PHONE = re.compile(
     rf"|{_BEGIN}1{_SEP}\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}{_END}"
     rf"|{_BEGIN}0[1-9](?:[ .\-]{{1,2}}\d{{2}}){{4}}{_END}"
     rf"|{_BEGIN}0[1-9]\d{{1,3}}[ ]?/[ ]?\d{{3,8}}(?:[\- ]\d{{1,5}})?{_END}"
-    rf"|{_BEGIN}0[1-9]\d{{0,3}}[ \-]{{1,2}}\d{{4,8}}(?:[ \-]{{1,2}}\d{{3,6}})?{_END}"
-    rf"|(?<![^\W\d_])(?:(?:{_DIGIT_WORDS})[\s,\-]{{1,3}}){{6,14}}(?:{_DIGIT_WORDS})(?![^\W\d_])",
+    rf"|{_BEGIN}0[1-9]\d{{0,3}}[ \-]{{1,2}}\d{{4,8}}(?:[ \-]{{1,2}}\d{{3,6}})?{_END}",
     re.I,
 )
+SPELLED_PHONE = re.compile(rf"(?<![^\W\d_])(?:(?:{_DIGIT_WORDS})[\s,\-]{{1,3}}){{6,14}}(?:{_DIGIT_WORDS})(?![^\W\d_])", re.I)
+_DIGIT_SET = frozenset(_DIGIT_WORDS.split("|"))
 MAYBE_PHONE = re.compile(
     rf"{_BEGIN}(?:\d{{3}}[ .\-]{{1,2}}\d{{3}}[ .\-]{{1,2}}\d{{4}}|\d{{3}}(?:[ .\-]{{1,2}}\d{{2}}){{3}}|\d{{3}}[ ]{{1,2}}\d{{3}}[ ]{{1,2}}\d{{3}}|\d{{3}}[ ]\d{{4}}[ ]\d{{4}}|0\d{{3,4}}[ \-]{{1,2}}\d{{3}}[ \-]{{1,2}}\d{{3}}|0\d{{3,4}}[ ]{{1,2}}\d{{6,8}}|0\d{{9,10}}|\d{{9,10}}){_END}"
 )
@@ -161,14 +166,29 @@ _EN_MORE = r"(?:Way|Court|Ct|Square|Sq|Hill|Place|Pl|Quay|Row|Green|Park|Gate)\b
 _NO = r"\d{1,5}(?:[ ]?[a-zA-Z](?![^\W_]))?"
 _FR_TYPES = r"(?:rue|r\.|avenue|av\.?|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|quai|impasse|imp\.|all[ée]e|cours|route|passage|square|sentier|ruelle)"
 _ES_TYPES = r"(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|carrera|ronda|traves[íi]a|callej[óo]n|via|viale|corso|piazza|vicolo|largo|strada|ulica|ul\.|aleja|al\.|plac|pl\.|os\.)"
-ADDRESS = re.compile(
-    rf"(?<![\w.,/\-]){_NO},?[ ]+(?:(?!and\b|or\b|of\b|in\b|the\b|a\b|to\b|days?\b|hours?\b|minutes?\b|weeks?\b|months?\b|years?\b|stars?\b|by\b|my\b)[^\W\d_][^\W\d_'’\-]*[ ]+){{1,3}}{_EN_TYPES}(?![^\W_])"
-    rf"|(?<![\w.,/\-]){_NO},?[ ]+(?:(?-i:[A-Z])[^\W\d_'’\-]*[ ]+){{1,3}}(?-i:{_EN_MORE})(?![^\W_])"
-    rf"|(?<![\w.,/\-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?[ ]?,?[ ]+{_FR_TYPES}[ ]+(?:(?:de|du|des|la|le|les|aux?|à|st|saint|sainte)[ ]+|[ld]['’]){{0,3}}[^\W\d_][\w'’\-]*"
-    rf"|(?<![\w\-])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*(?:-?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee)|[ ](?-i:Stra(?:ß|ss)e|Str\.))[ ]+{_NO}(?![\w/]|[.,]\d)"
-    rf"|(?<![\w\-])(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:-[^\W\d_]+)*-?(?-i:[Pp]latz|[Uu]fer|[Dd]amm|[Ss]teig|[Cc]haussee)[ ]+{_NO}(?![\w/]|[.,]\d)"
-    rf"|(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)",
-    re.I,
+#: each with what a text in small letters must hold for the pattern to be tried
+ADDRESSES = (
+    (
+        re.compile(
+            rf"(?<![\w.,/\-]){_NO},?[ ]+(?:(?!and\b|or\b|of\b|in\b|the\b|a\b|to\b|days?\b|hours?\b|minutes?\b|weeks?\b|months?\b|years?\b|stars?\b|by\b|my\b)[^\W\d_][^\W\d_'’\-]*[ ]+){{1,3}}{_EN_TYPES}(?![^\W_])"
+            rf"|(?<![\w.,/\-]){_NO},?[ ]+(?:(?-i:[A-Z])[^\W\d_'’\-]*[ ]+){{1,3}}(?-i:{_EN_MORE})(?![^\W_])"
+            rf"|(?<![\w.,/\-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?[ ]?,?[ ]+{_FR_TYPES}[ ]+(?:(?:de|du|des|la|le|les|aux?|à|st|saint|sainte)[ ]+|[ld]['’]){{0,3}}[^\W\d_][\w'’\-]*",
+            re.I,
+        ),
+        None,
+    ),
+    (
+        re.compile(
+            rf"(?<![\w\-])[^\W\d_]{{2,}}(?:-[^\W\d_]+)*(?:-?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee)|[ ](?-i:Stra(?:ß|ss)e|Str\.))[ ]+{_NO}(?![\w/]|[.,]\d)"
+            rf"|(?<![\w\-])(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:-[^\W\d_]+)*-?(?-i:[Pp]latz|[Uu]fer|[Dd]amm|[Ss]teig|[Cc]haussee)[ ]+{_NO}(?![\w/]|[.,]\d)",
+            re.I,
+        ),
+        ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ufer", "damm", "steig", "chaussee"),
+    ),
+    (
+        re.compile(rf"(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)", re.I),
+        ("calle", "c/", "aven", "avda", "av.", "pla", "pza", "paseo", "pº", "camino", "carrera", "ronda", "trav", "via", "corso", "piazza", "vicolo", "largo", "strada", "ul", "al", "pl.", "os."),
+    ),
 )
 
 TITLES = frozenset("mr mrs ms miss mx sir dr prof herr herrn frau fr m mme mlle madame monsieur sr sra srta don doña señor señora sig signor signora dott dott.ssa pan pani pana panem".split())
@@ -177,6 +197,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _RESPECT = ("さん", "様", "氏", "先生")
 
 
+@lru_cache(200_000)
 def _flat(word: str) -> str:
     """A word for comparison: small letters, a doubled letter once."""
     return re.sub(r"(.)\1+", r"\1", word.lower())
@@ -309,7 +330,8 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         out.append(f)
         taken[f.start : f.end] = b"\1" * (f.end - f.start)
 
-    m = EMAIL.search(t)
+    small = t.lower()
+    m = EMAIL.search(t) if "@" in t or _AT_HINT.search(small) else None
     while m:
         spelled = "@" not in m.group(2) and not re.search(r"[(\[{]", m.group(2))
         if spelled and m.group(4).lower() not in _DOMAINS:
@@ -317,11 +339,13 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
             continue
         take(Form("email", m.start(1), m.end(3), True))
         m = EMAIL.search(t, m.end())
-    for m in re.finditer(r"(?<!\w)@[A-Za-z]\w+", t):
+    for m in _HANDLE.finditer(t):
         taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    for m in ADDRESS.finditer(t):
-        if not _overlaps(taken, m.start(), m.end()):
-            take(Form("address", m.start(), m.end(), True))
+    for pattern, hints in ADDRESSES:
+        if hints is None or any(h in small for h in hints):
+            for m in pattern.finditer(t):
+                if not _overlaps(taken, m.start(), m.end()):
+                    take(Form("address", m.start(), m.end(), True))
     for m in SURE_ID.finditer(t):
         if not _overlaps(taken, m.start(), m.end()):
             take(Form("id_number", m.start(), m.end(), True, _around(t, m.start(), m.end())))
@@ -329,9 +353,13 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         n, first = _digits(m.group(0)), m.group(0)
         if _overlaps(taken, m.start(), m.end()) or ID_LABEL.search(t[max(0, m.start() - 70) : m.start()]):
             continue
-        if n and not (12 <= n <= 15 if first.startswith("00") else 9 <= n <= 15):
+        if not (12 <= n <= 15 if first.startswith("00") else 9 <= n <= 15):
             continue
         take(Form("phone", m.start(), m.end(), True, _around(t, m.start(), m.end())))
+    if sum(w in _DIGIT_SET for w in small.split()) >= 6:
+        for m in SPELLED_PHONE.finditer(t):
+            if not _overlaps(taken, m.start(), m.end()):
+                take(Form("phone", m.start(), m.end(), True, _around(t, m.start(), m.end())))
     for m in MAYBE_ID.finditer(t):
         if _overlaps(taken, m.start(), m.end()):
             continue
@@ -362,11 +390,10 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
     done, french = -1, None
 
     def family(w: str) -> int:
-        ps = re.split(r"[-]", w)
-        return min(names.kind(p, "family") for p in ps)
+        return min(names.kind(p, "family") for p in w.split("-")) if "-" in w else names.kind(w, "family")
 
     def given(w: str) -> int:
-        return min(names.kind(p, "given") for p in w.split("-"))
+        return min(names.kind(p, "given") for p in w.split("-")) if "-" in w else names.kind(w, "given")
 
     for i, (w, a, b) in enumerate(words):
         if len(w) < 3 or a < done:
