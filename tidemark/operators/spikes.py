@@ -56,14 +56,20 @@ def limits(catalog: DataFrame) -> DataFrame:
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Few rows to an Arrow batch while rows hold whole blocks."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BLOCKS_AT_A_TIME))
+    """Few rows to a batch of the Parquet reader and of Arrow while rows hold whole blocks."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, str(BLOCKS_AT_A_TIME))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+#: row groups of few blocks, as a reader holds at least a part of one in memory
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
 
 
 def _with(blocks: DataFrame, summary: DataFrame, rows: int, bytes_each: int, on: list[str]) -> DataFrame:
@@ -504,14 +510,14 @@ def judged(points: DataFrame, catalog: DataFrame, all_readings: bool = True) ->
     named = sources.select("series", "source", "n")
     named = F.broadcast(named) if n_sources * 100 <= BROADCAST_BYTES else named
     blocks = _cut(p, named, largest).groupBy("source", "block").applyInPandas(_pack, BLOCKS)
-    blocks = storage.staged(blocks, "blocks")
+    blocks = storage.staged(blocks, "blocks", **SMALL_GROUPS)
     about = blocks.select("source", "block", "head", "tail", "changes", "hours").join(sources.select("source", "lo", "hi"), "source")
     about = storage.staged(about.groupBy("source").applyInPandas(_source, SOURCES), "about")
     n_blocks = about.count()
     with _small_batches(spark):
         whole = blocks.select("source", "block", "ts", "seq", "value")
         made = _with(whole, about, n_blocks, 2000, ["source", "block"]).mapInPandas(_each(_features, FEATURES), FEATURES)
-        features = storage.staged(made, "features")
+        features = storage.staged(made, "features", **SMALL_GROUPS)
         storage.drop(blocks)
         of_source = features.select("source", "block", "pieces", "long_runs", "lengths", "runs", "joins")
         runs = storage.staged(of_source.groupBy("source").applyInPandas(_runs, RUNS), "runs")

@@ -78,12 +78,11 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
     return sorted((str(s.getPath().toString()), int(s.getLen()), bool(s.isDirectory())) for s in fs.listStatus(p))
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return what reads it back."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with options of the Parquet writer, and return what reads it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     _staged.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
