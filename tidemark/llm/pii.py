@@ -114,7 +114,7 @@ def normal_form(text: str) -> tuple[str, list[int] | range]:
 
 _AT_WORD = "(?:at|ät|arroba|chiocciola|ma[łl]pa|arobase|klammeraffe)"
 _DOT_WORD = "(?:dot|punkt|punto|point|kropka)"
-_AT = rf"(?:[ ]?@[ ]?|[ ]{{0,2}}[(\[{{][ ]?{_AT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}})"
+_AT = rf"(?:[ ]{{0,2}}@[ ]{{0,2}}|[ ]{{0,2}}[(\[{{][ ]?{_AT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}})"
 _DOT = rf"(?:\.|[ ]{{0,2}}[(\[{{][ ]?{_DOT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}})"
 _LOCAL = rf"(?:\"[^\"\n]{{1,64}}\"|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]+(?:(?:\.|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[ ]?[(\[]{_DOT_WORD}[)\]][ ]?)[A-Za-z0-9_%+\-]+)*)"
 EMAIL = re.compile(rf"({_LOCAL})({_AT})([A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}([A-Za-z]{{2,24}}))(?![A-Za-z0-9]|[ ]?@)", re.I)
@@ -157,7 +157,7 @@ THING = re.compile(
     re.I,
 )
 ID_LABEL = re.compile(
-    r"(?<![^\W\d_])(?:ssn|social|social security(?: n\w*)?|nino?|ni n\w+|national insurance(?: n\w*)?|tax id|itin|passport(?: n\w*)?|nir|s[ée]cu|s[ée]curit[ée] sociale|id-?nr|steuer-?id|steuer\w*nummer|ausweis\w*|reisepass\w*|personalausweis\w*|dni|nie|nif|pasaporte|passeport|passaporto|codice fiscale|pesel|nip|paszport\w*|dow[óo]d\w*|マイナンバー|個人番号|パスポート番号)(?![^\W\d_])\.?[^\n.!?。\d]{0,40}\Z",
+    r"(?<![^\W\d_])(?:ssn|social|id card(?: n\w*)?|identity card|identity n\w+|carte d['’]identité|carta d['’]identità|social security(?: n\w*)?|nino?|ni n\w+|national insurance(?: n\w*)?|tax id|itin|passport(?: n\w*)?|nir|s[ée]cu|s[ée]curit[ée] sociale|id-?nr|steuer-?id|steuer\w*nummer|ausweis\w*|reisepass\w*|personalausweis\w*|dni|nie|nif|pasaporte|passeport|passaporto|codice fiscale|pesel|nip|paszport\w*|dow[óo]d\w*|マイナンバー|個人番号|パスポート番号)(?![^\W\d_])\.?[^\n.!?。\d]{0,40}\Z",
     re.I,
 )
 
@@ -449,8 +449,7 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
         if first and names.is_brand(first, w) and not titled:
             continue
         if f:
-            sure = f == 2 or g == 2 or titled
-            out.append(Form("person_name", begin, b, sure, () if sure else ("=" + _flat(w),)))
+            out.append(Form("person_name", begin, b, True))
             done = b
         elif first and g == 2 and w[0].isupper() and len(w) >= 4 and names.near(w, "family"):
             out.append(Form("person_name", begin, b, False, ("=" + _flat(w),)))
