@@ -31,6 +31,9 @@ def forms(text, kinds=None):
         ("Tel. +49 (0)30 23125981 bitte", "phone", "+49"),
         ("ring (984) 555-0120 after six", "phone", "(984)"),
         ("1-620-555-0102", "phone", "1-620"),
+        ("I rang from +1 908  555 0172 and", "phone", "+1"),
+        ("au +33 1 99  00 38 14. Je", "phone", "+33"),
+        ("ID card: 00084670 Cheap", "id_number", "00084670"),
         ("Appelez-moi au 06.39.98.25.19.", "phone", "06"),
         ("0044 7700 900710, danke", "phone", "0044"),
         ("電話は090-0000-2487までお願い", "phone", "090"),

@@ -128,12 +128,12 @@ _END = r"(?![0-9A-Za-z]|[\-./]\d)"
 _BEGIN = r"(?<![A-Za-z0-9À-ɏ#@])(?<![0-9A-Za-z][\-./])"
 _DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|due|tre|quattro|cinque|sei|sette|otto|nove|jeden|dwa|trzy|cztery|pięć|sześć|siedem|osiem|dziewięć"
 SURE_PHONE = re.compile(
-    rf"\+\d{{1,3}}(?:[ ]?\(0\))?(?:{_SEP}?\(?\d{{1,8}}\)?){{1,6}}{_END}"
-    rf"|{_BEGIN}00[1-9]\d{{0,2}}(?:[ ]?\(0\))?(?:{_SEP}?\d{{1,8}}){{1,6}}{_END}"
+    rf"\+\d{{1,3}}(?:[ ]{{0,2}}\(0\))?(?:{_SEP}{{0,2}}\(?\d{{1,8}}\)?){{1,6}}{_END}"
+    rf"|{_BEGIN}00[1-9]\d{{0,2}}(?:[ ]{{0,2}}\(0\))?(?:{_SEP}{{0,2}}\d{{1,8}}){{1,6}}{_END}"
     rf"|(?<![A-Za-z0-9])\(\d{{2,5}}\)[ .\-]{{0,2}}\d{{3,5}}{_SEP}{{0,2}}\d{{3,5}}{_END}"
-    rf"|{_BEGIN}1{_SEP}\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}{_END}"
+    rf"|{_BEGIN}1{_SEP}{{1,2}}\d{{3}}{_SEP}{{1,2}}\d{{3}}{_SEP}{{1,2}}\d{{4}}{_END}"
     rf"|{_BEGIN}0[1-9](?:[ .\-]{{1,2}}\d{{2}}){{4}}{_END}"
-    rf"|{_BEGIN}0[1-9]\d{{1,3}}[ ]?/[ ]?\d{{3,8}}(?:[\- ]\d{{1,5}})?{_END}"
+    rf"|{_BEGIN}0[1-9]\d{{1,3}}[ ]{{0,2}}/[ ]{{0,2}}\d{{3,8}}(?:[\- ]{{1,2}}\d{{1,5}})?{_END}"
     rf"|{_BEGIN}0[1-9]\d{{0,3}}[ \-]{{1,2}}\d{{4,8}}(?:[ \-]{{1,2}}\d{{3,6}})?{_END}",
     re.I,
 )
