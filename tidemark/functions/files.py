@@ -10,10 +10,13 @@ def base_name(path: Column) -> Column:
     """The name of a file without its folders, however the path is spelled.
 
     Surrounding blanks are cut, percent-encoding is undone (a ``+`` stays one), and ``/`` and ``\\`` both separate folders.
+    Only names that hold a ``%`` or ``\\`` take the long way.
     """
+    short = F.substring_index(F.trim(path), "/", -1)
     plain = F.regexp_replace(F.trim(path), r"\+", "%2B")
     plain = F.coalesce(F.try_url_decode(plain), path)
-    return F.regexp_extract(F.trim(plain), r"([^/\\]*)$", 1)
+    long = F.regexp_extract(F.trim(plain), r"([^/\\]*)$", 1)
+    return F.when(path.contains("%") | path.contains("\\"), long).otherwise(short)
 
 
 def live_records(segments: DataFrame) -> DataFrame:
