@@ -310,6 +310,44 @@ def test_spikes(spark, monkeypatch, size):
     assert every.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def outages(newest_first):
+    """(rows, numbers of spikes): readings of ten sources by turns; in a and b the first reading on time after an outage is a
+    spike, its backlog follows it or the reading after it; the clock of a reading of c, from before a change of level, is ahead."""
+    rnd, rows, bad = random.Random(11), [], set()
+    held, late, t_of = {"a": [], "b": []}, {"a": 340, "b": 341}, lambda i: T0 + i * 600 * SEC
+
+    def send(s, i, v, ahead=0):
+        rows.append((s, t_of(i) + ahead * 300 * SEC, len(rows), v))
+
+    for i in range(600):
+        for s in "abcdefghij":
+            v = 20 + rnd.gauss(0, 0.4) + (15 if s == "c" and i > 405 else 0)
+            if s in held and 300 <= i < 340:
+                held[s].append((i, v))
+                continue
+            if s in held and i == 340:
+                v += 15
+                bad.add(len(rows))
+            send(s, i, v, 25 if s == "c" and i == 400 else 0)
+            if s in held and i == late[s]:
+                for j, w in held[s][::-1] if newest_first else held[s]:
+                    send(s, j, w)
+    return rows, bad
+
+
+@pytest.mark.parametrize("newest_first", [True, False])
+def test_spike_after_an_outage(spark, newest_first):
+    import numpy as np
+
+    rows, bad = outages(newest_first)
+    got = {r["seq"] for r in spikes.implausible(points(spark, rows), catalog(spark, [])).collect()}
+    assert got == bad
+    for s in "abcd":
+        mine = sorted(r for r in rows if r[0] == s)
+        t, q, v = (np.array([r[k] for r in mine]) for k in (1, 2, 3))
+        assert spikes.displaced(t, q, v, 0.4).sum() == (s == "c")
+
+
 def test_spikes_of_nothing(spark):
     cat = catalog(spark, [])
     assert spikes.judged(points(spark, []), cat).count() == 0

@@ -43,7 +43,8 @@ BLOCKS_AT_A_TIME = 8  #: blocks in an Arrow batch
 
 NOT_FINITE, LIMIT, JUMPS, STARTS, DISPLACED = 1, 2, 4, 8, 16  #: flags of a reading
 RULED = NOT_FINITE | LIMIT | DISPLACED  #: flags of readings that the forest does not judge
-EARLY = 8  #: a reading is displaced if at least so many arrivals lie between it and the earliest of its neighbours
+AROUND = 3  #: readings on either side, in time and in arrival, that tell whether a clock ran ahead
+BATCH = 4  #: arrivals of a late batch follow each other at most 1/BATCH of the source's usual distance in seq apart
 
 
 def limits(catalog: DataFrame) -> DataFrame:
@@ -203,21 +204,37 @@ def departures(y: np.ndarray, noise: float) -> np.ndarray:
     return best
 
 
-def displaced(seq: np.ndarray, y: np.ndarray, noise: float) -> np.ndarray:
-    """Readings that arrived long before the three on either side of them in time: the sender's clock ran ahead.
+def displaced(ts: np.ndarray, seq: np.ndarray, y: np.ndarray, noise: float) -> np.ndarray:
+    """Readings of a sender whose clock ran ahead: they carry the value of another time and say nothing about this one.
 
-    Their values belong to another time, so they say nothing about this one. A late batch, sent newest first, is in
-    reverse order too, but its readings arrive one right after the other. A reading that equals both neighbours stays.
+    Such a reading came before its neighbours in time, and its time is beyond those of the readings of the source that
+    arrived just before it and of those that arrived just after it. Late batches are left out of these: they follow each
+    other closely, and the first reading on time after an outage, whose backlog comes later, is no such reading, as the
+    next ones on time are beyond it. Where arrival does not tell, a reading stays; so does one that equals both neighbours.
     """
     n, far = len(seq), np.int64(1) << 62
-    if n < 4:
-        return np.zeros(n, bool)
-    q = np.concatenate([[-far] * 3, seq, [far] * 3])
-    earlier = np.minimum.reduce([q[0:n], q[1 : n + 1], q[2 : n + 2]])
-    later = np.minimum.reduce([q[4 : n + 4], q[5 : n + 5], q[6 : n + 6]])
+    out = np.zeros(n, bool)
+    if n <= 2 * AROUND:
+        return out
+    q = np.concatenate([[-far] * AROUND, seq, [far] * AROUND])
+    sides = [j for j in range(2 * AROUND + 1) if j != AROUND]
     same = np.abs(np.diff(y)) <= SAME * noise
     fits = np.r_[True, same] & np.r_[same, True]
-    return (seq + EARLY < earlier) & (seq + EARLY < later) & ~fits
+    maybe = np.flatnonzero((seq < np.minimum.reduce([q[j : j + n] for j in sides])) & ~fits)
+    if not len(maybe):
+        return out
+    order = np.argsort(seq, kind="stable")
+    gap = np.diff(seq[order])
+    batch = np.cumsum(np.r_[True, gap > max(2.0, np.median(gap) / BATCH)]) - 1
+    single = np.flatnonzero(np.bincount(batch)[batch] < AROUND)
+    arrived = np.empty(n, np.int64)
+    arrived[order] = np.arange(n)
+    before, after = np.searchsorted(single, arrived[maybe], "left"), np.searchsorted(single, arrived[maybe], "right")
+    known = (before >= AROUND) & (after + AROUND <= len(single))
+    maybe, before, after = maybe[known], before[known], after[known]
+    near = np.hstack([before[:, None] - np.arange(1, AROUND + 1), after[:, None] + np.arange(AROUND)])
+    out[maybe[(ts[order[single[near]]] < ts[maybe][:, None]).all(1)]] = True
+    return out
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -250,7 +267,7 @@ def _features(b: pd.Series) -> tuple:
     level, jump, seasonal, held = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int32)
     pieces, long_runs, lengths, runs, joins = np.zeros((3, 0)), np.zeros((3, 0)), np.zeros(0, np.int64), 0, False
     at = np.flatnonzero(finite & ~outside)
-    moved = displaced(seq[at], value[at], noise)
+    moved = displaced(ts[at], seq[at], value[at], noise)
     flags[at[moved]] |= DISPLACED
     at = at[~moved]
     y = value[at]
