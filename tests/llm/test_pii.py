@@ -67,6 +67,20 @@ def test_cases(text, kind, at):
     assert (kind, text.index(at)) in forms(text), forms(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "at"),
+    [
+        ("my number: five, five, five, zero, one, two, three, four", "phone", "five"),
+        ("my number: five-five-five-zero-one-two-three", "phone", "five"),
+        ("my number: FİVE, five, five, zero, one, two, three", "phone", "FİVE"),
+        ("write to john ( at ) example.com", "email", "john"),
+        ("write to john [ at ] example [ dot ] com", "email", "john"),
+    ],
+)
+def test_forms_behind_gates(text, kind, at):
+    assert (kind, text.index(at)) in forms(text), forms(text)
+
+
 @pytest.mark.parametrize(
     "text",
     [

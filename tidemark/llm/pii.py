@@ -118,8 +118,8 @@ _AT = rf"(?:[ ]{{0,2}}@[ ]{{0,2}}|[ ]{{0,2}}[(\[{{][ ]?{_AT_WORD}[ ]?[)\]}}][ ]{
 _DOT = rf"(?:\.|[ ]{{0,2}}[(\[{{][ ]?{_DOT_WORD}[ ]?[)\]}}][ ]{{0,2}}|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}})"
 _LOCAL = rf"(?:\"[^\"\n]{{1,64}}\"|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]+(?:(?:\.|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[ ]?[(\[]{_DOT_WORD}[)\]][ ]?)[A-Za-z0-9_%+\-]+)*)"
 EMAIL = re.compile(rf"({_LOCAL})({_AT})([A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}([A-Za-z]{{2,24}}))(?![A-Za-z0-9]|[ ]?@)", re.I)
-#: a spelled "at" with something like a host name behind it; to be tried on small letters
-_AT_HINT = re.compile(rf"[ (\[{{]{_AT_WORD}[ )\]}}][ ]{{0,2}}[a-z0-9\-]+[ ]{{0,2}}(?:\.[a-z0-9]|[(\[{{][ ]?{_DOT_WORD}|{_DOT_WORD}[ ])")
+#: in all texts with an ``EMAIL`` that has no at sign; to be tried on small letters
+_AT_HINT = re.compile(rf"[ (\[{{][ ]?{_AT_WORD}[ ]?[ )\]}}][ ]{{0,2}}[a-z0-9\-]+{_DOT}[a-z0-9\-]")
 _HANDLE = re.compile(r"(?<!\w)@[A-Za-z]\w+")
 _DOMAINS = frozenset("com net org info edu gov biz io eu co uk de fr es it pl jp us example test invalid localhost".split())
 
@@ -138,6 +138,7 @@ SURE_PHONE = re.compile(
     re.I,
 )
 SPELLED_PHONE = re.compile(rf"(?<![^\W\d_])(?:(?:{_DIGIT_WORDS})[\s,\-]{{1,3}}){{6,14}}(?:{_DIGIT_WORDS})(?![^\W\d_])", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT_SET = frozenset(_DIGIT_WORDS.split("|"))
 MAYBE_PHONE = re.compile(
     rf"{_BEGIN}(?:\d{{3}}[ .\-]{{1,2}}\d{{3}}[ .\-]{{1,2}}\d{{4}}|\d{{3}}(?:[ .\-]{{1,2}}\d{{2}}){{3}}|\d{{3}}[ ]{{1,2}}\d{{3}}[ ]{{1,2}}\d{{3}}|\d{{3}}[ ]\d{{4}}[ ]\d{{4}}|0\d{{3,4}}[ \-]{{1,2}}\d{{3}}[ \-]{{1,2}}\d{{3}}|0\d{{3,4}}[ ]{{1,2}}\d{{6,8}}|0\d{{9,10}}|\d{{9,10}}){_END}"
@@ -330,7 +331,7 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         out.append(f)
         taken[f.start : f.end] = b"\1" * (f.end - f.start)
 
-    small = t.lower()
+    small = t.lower().replace("i\u0307", "i").replace("ı", "i")  # as patterns that ignore case see it
     m = EMAIL.search(t) if "@" in t or _AT_HINT.search(small) else None
     while m:
         spelled = "@" not in m.group(2) and not re.search(r"[(\[{]", m.group(2))
@@ -356,7 +357,7 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         if not (12 <= n <= 15 if first.startswith("00") else 9 <= n <= 15):
             continue
         take(Form("phone", m.start(), m.end(), True, _around(t, m.start(), m.end())))
-    if sum(w in _DIGIT_SET for w in small.split()) >= 6:
+    if sum(w in _DIGIT_SET for w in _LETTERS.findall(small)) >= 7:
         for m in SPELLED_PHONE.finditer(t):
             if not _overlaps(taken, m.start(), m.end()):
                 take(Form("phone", m.start(), m.end(), True, _around(t, m.start(), m.end())))
