@@ -169,6 +169,25 @@ def test_late(spark, monkeypatch):
     assert late.LambdaHours(points(spark, []), cat).serve().count() == 0
 
 
+def test_late_by_both_views(spark, monkeypatch):
+    from tidemark import queries
+
+    rows = random_points(3)
+    cat = catalog(spark, [("a", 1, 600, None, None)])
+    upto = lambda n: brute_late([r for r in rows if r[2] is not None and r[2] < n], {"a": 600})[0]
+    views = late.LambdaHours(points(spark, rows), cat, keep_late=True)
+    assert views.serve_late().count() == 0
+    for step, n in ((views.batch, 150), (views.fast, 250), (views.fast, 330), (views.batch, 300)):
+        step(n)
+        assert sorted(r[0] for r in views.serve_late().collect()) == sorted(upto(max(n, views.next_seq)))
+    served = []
+    both = late.LambdaHours.serve_late
+    monkeypatch.setattr(late.LambdaHours, "serve_late", lambda v: served.append((v.batch_late is not None, len(v.fast_steps))) or both(v))
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: points(spark, rows) if name == "points" else cat)
+    assert sorted(r[0] for r in queries.p7_found(spark, "").collect()) == sorted(upto(10**6))
+    assert served == [(True, 2)]
+
+
 # ---- incremental runs
 
 

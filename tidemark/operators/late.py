@@ -97,13 +97,16 @@ class LambdaHours:
     ``to_seq``, keeps the frozen ones, and drops what the fast view holds up to there. ``serve()`` is the merged view.
     Every table is written under a new name and becomes visible by one assignment after its write has ended, so
     a run that fails leaves the views as they were and can be repeated. Within a step a row repeated
-    as a whole counts once; repeats across steps are put right by the next ``batch``.
+    as a whole counts once; repeats across steps are put right by the next ``batch``. With ``keep_late`` both views
+    also hold the ``seq`` of the records they leave out, which ``serve_late()`` merges.
     """
 
-    def __init__(self, log: DataFrame, catalog: DataFrame):
+    def __init__(self, log: DataFrame, catalog: DataFrame, keep_late: bool = False):
         self.log, self.catalog, self.spark = log, catalog, log.sparkSession
+        self.keep_late = keep_late
         self.batch_view: DataFrame | None = None
-        self.fast_steps: list[tuple[int | None, int, DataFrame]] = []  #: (from, to, increments)
+        self.batch_late: DataFrame | None = None
+        self.fast_steps: list[tuple[int | None, int, DataFrame, DataFrame | None]] = []  #: (from, to, increments, late)
         self.seen: DataFrame | None = None
         self.next_seq: int | None = None
 
@@ -124,9 +127,17 @@ class LambdaHours:
         part = self.log.where(F.col("seq") < to_seq)
         return part if from_seq is None else part.where(F.col("seq") >= from_seq)
 
-    def _step(self, from_seq: int | None, to_seq: int, seen: DataFrame | None) -> tuple[int | None, int, DataFrame]:
-        marked = with_cutoff(self._part(from_seq, to_seq), self.catalog, seen)
-        return from_seq, to_seq, storage.staged(hourly(marked), "fast")
+    def _step(self, from_seq: int | None, to_seq: int, seen: DataFrame | None) -> tuple[int | None, int, DataFrame, DataFrame | None]:
+        marked, late = self._marked(self._part(from_seq, to_seq), seen)
+        return from_seq, to_seq, storage.staged(hourly(marked), "fast"), late
+
+    def _marked(self, rows: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Rows with their cut-off and, if they are kept, the numbers of the late ones; the cut-off is computed once."""
+        marked = with_cutoff(rows, self.catalog, seen)
+        if not self.keep_late:
+            return marked, None
+        marked = storage.staged(marked, "marked")
+        return marked, marked.where("late").select("seq").distinct()
 
     def batch(self, to_seq: int | None = None) -> None:
         """Recompute the open hours from the log before ``to_seq`` (all of it if None); freeze those past cut-off."""
@@ -135,7 +146,7 @@ class LambdaHours:
         bound = seen.join(lateness(self.catalog), "series", "left").select(
             "series", (F.col("seen") - F.coalesce("late_ns", F.lit(0))).alias("frozen_to")
         )
-        marked = with_cutoff(log, self.catalog)
+        marked, late = self._marked(log)
         frozen = None
         if self.batch_view is not None:
             frozen = self.batch_view.where("frozen")
@@ -155,14 +166,14 @@ class LambdaHours:
         later = [] if to_seq is None else [s for s in self.fast_steps if s[1] > to_seq]
         # of a step that the batch reaches into, only the rest is kept
         later = [s if s[0] is not None and s[0] >= to_seq else self._step(to_seq, s[1], seen) for s in later]
-        self.batch_view, self.fast_steps = view, later
+        self.batch_view, self.batch_late, self.fast_steps = view, late, later
         if to_seq is not None and (self.next_seq is None or to_seq > self.next_seq):
             self.seen, self.next_seq = seen, to_seq
 
     def serve(self) -> DataFrame:
         """``series, hour, points, total, low, high, left_out`` of the batch view plus the steps after it."""
         names = ["series", "hour", "points", "total", "low", "high", "left_out"]
-        parts = [step.select(*names) for _, _, step in self.fast_steps]
+        parts = [step.select(*names) for _, _, step, _ in self.fast_steps]
         if self.batch_view is not None:
             parts.insert(0, self.batch_view.select(*names))
         if not parts:
@@ -174,3 +185,11 @@ class LambdaHours:
             F.sum("points").alias("points"), F.sum("total").alias("total"), F.min("low").alias("low"),
             F.max("high").alias("high"), F.sum("left_out").alias("left_out"),
         )
+
+    def serve_late(self) -> DataFrame:
+        """``seq`` of the records left out by the batch view and by the steps after it, each once; needs ``keep_late``."""
+        parts = [late for late in (self.batch_late, *(s[3] for s in self.fast_steps)) if late is not None]
+        out = parts[0] if parts else late_points(self.log.limit(0), self.catalog)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.distinct()

@@ -153,7 +153,14 @@ SELECT seq FROM latest l WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.seq = l.
 
 @query
 def p7_found(spark, d):
-    return late.late_points(table(spark, d, "points"), table(spark, d, "series_catalog"))
+    points = table(spark, d, "points")
+    lo, hi = points.agg(F.min("seq"), F.max("seq")).first()
+    views = late.LambdaHours(points, table(spark, d, "series_catalog"), keep_late=True)
+    if lo is not None:
+        views.batch(lo + (hi - lo) // 2)
+        views.fast(lo + (hi - lo) * 3 // 4)
+        views.fast(hi + 1)
+    return views.serve_late()
 
 
 LATE = f"""{POINTS},
