@@ -102,3 +102,14 @@ def test_pack_round_trip(spark, shard):
     assert set(got.target_id) == {1, 2}
     assert packing.pack(documents(spark, []), goals).count() == 0
     assert packing.pack(documents(spark, rows), goals.limit(0)).count() == 0
+
+
+def test_an_exact_fill_by_any_two_lengths():
+    left = [40, *range(51, 90, 2), *range(90, 130), 160]
+    assert packing._next(left, {x: [0] for x in left}, 200) == 160
+    left = [49, *range(102, 200, 2), 151]  # only 49 and 151 make 200, behind 24 longer lengths
+    assert packing._next(sorted(left), {x: [0] for x in left}, 200) == 151
+    left = [97, 103, *range(104, 200, 2)]  # 103 and 97, behind 48 longer lengths
+    assert packing._next(left, {x: [0] for x in left}, 200) == 103
+    assert packing._next([100, 150], {100: [0], 150: [0]}, 200) == 150
+    assert packing._next([100, 150], {100: [0, 1], 150: [0]}, 200) == 100

@@ -1,8 +1,8 @@
 """Items of varying length into containers of fixed capacity, none split unless it exceeds the capacity alone.
 
-Documents are routed to tiers by context size: capacity, half of it, a quarter and so on. Each tier is packed from the longest
-down: an item opens a container, and the room that is left is filled with the longest items that fit, which come from the
-shorter tiers once the own tier has none. All items of one length are alike to the packing, so it works on counts by
+All documents of a shard are packed from the longest down by best fit: an item opens a container, and the room that is left is
+filled with the longest items that fit, or with two that fill it exactly. Tiers (capacity, half of it, a quarter and so on) are
+labels: all items of a container get that of its first, and no choice depends on them. All items of one length are alike to the packing, so it works on counts by
 length. Containers of like cost of attention are dealt out over step groups in turn and back, which balances the groups.
 
 Packing runs on many independent shards of about ``SHARD_ITEMS`` items drawn by hash; each loses at most part of
@@ -61,8 +61,10 @@ def _next(left: list[int], waiting: dict[int, list], room: int) -> int:
     longest = left[at - 1]
     if longest == room:
         return room
-    for k in range(at - 1, max(-1, at - 33), -1):
+    for k in range(at - 1, -1, -1):
         rest = room - left[k]
+        if rest > left[k]:
+            break  # the longer of such two was tried
         if rest in waiting and (rest != left[k] or len(waiting[rest]) > 1):
             return left[k]
     return longest
