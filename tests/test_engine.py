@@ -179,7 +179,7 @@ def test_corruption(spark, tmp_path):
     e.set_delete_before(1)
     with pytest.raises(ConcurrentWrite):
         other.set_delete_before(2)
-    storage.delete(spark, f"{e.manifest.segments[0].path}/stats")
+    storage.delete(spark, f"{e.manifest.segments[0].path}/index")
     with pytest.raises(Corruption):
         engine(spark, tmp_path / "db")
     name = sorted((tmp_path / "db" / "manifest").glob("v*.json"))[-1]

@@ -28,7 +28,7 @@ class EngineError(Exception):
 
 class SeriesNotFound(EngineError):
     def __init__(self, series: str):
-        super().__init__(f"series not found: {series}")
+        super().__init__(f"no segment has a series {series!r}")
         self.series = series
 
 
@@ -36,7 +36,7 @@ class InvalidTimeRange(EngineError):
     """A range [start, end) that holds nothing, or a bound out of the domain of ts."""
 
     def __init__(self, start: int, end: int | None):
-        super().__init__(f"invalid time range: start={start}, end={end}")
+        super().__init__(f"the range from {start} up to {end} is empty or out of bounds")
         self.start, self.end = start, end
 
 
@@ -46,13 +46,14 @@ class ConfigError(EngineError):
 
 class Corruption(EngineError):
     def __init__(self, details: str, series: str | None = None, timestamp: int | None = None):
-        super().__init__(f"corruption: {details}")
+        where = "" if series is None else f" (first point there: series {series!r}, ts {timestamp})"
+        super().__init__(f"damaged data: {details}{where}")
         self.details, self.series, self.timestamp = details, series, timestamp
 
 
 class CardinalityLimitExceeded(EngineError):
     def __init__(self, current: int, limit: int, scope: str):
-        super().__init__(f"series cardinality limit exceeded: current={current}, limit={limit}, scope={scope}")
+        super().__init__(f"scope {scope!r} has {current} of {limit} series; the batch would add more")
         self.current, self.limit, self.scope = current, limit, scope
 
 
@@ -82,6 +83,9 @@ class Encoding:
         return out
 
 
+# Names and defaults of the settings of these two classes, which are the public interface.
+
+
 @dataclass
 class SegmentConfig:
     compaction_check_interval_s: float = 1.0
@@ -89,6 +93,8 @@ class SegmentConfig:
     l0_compaction_trigger_total_bytes: int | None = None
     l0_compaction_trigger_max_age_s: float | None = None
     enable_tag_index: bool = True
+    #: tags that new segments give a column of their own, so that conditions on them skip row groups and pages
+    promoted_tags: tuple[str, ...] = ()
     encoding: Encoding = field(default_factory=Encoding)
     #: bytes of input that one task of a segment write takes
     target_file_bytes: int = 256 << 20

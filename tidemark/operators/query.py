@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import floor_div
@@ -18,18 +18,29 @@ def check_range(start: int, end: int | None) -> None:
         raise InvalidTimeRange(start, end)
 
 
+def condition(series: str | None = None, start: int = 0, end: int | None = None, tags: dict[str, str] | None = None) -> Column:
+    """True for points of the series (any if None) in [start, end) whose tags hold all given pairs."""
+    out = F.col("ts") >= F.lit(start)
+    if series is not None:
+        out = (F.col("series") == F.lit(series)) & out
+    if end is not None:
+        out = out & (F.col("ts") < F.lit(end))
+    match = tag_match("tags", tags)
+    return out if match is None else out & match
+
+
+def restricted(points: DataFrame, series: str | None = None, start: int = 0, end: int | None = None, tags: dict[str, str] | None = None) -> DataFrame:
+    check_range(start, end)
+    return points.where(condition(series, start, end, tags))
+
+
 def select_points(points: DataFrame, series: str, start: int = 0, end: int | None = None, tags: dict[str, str] | None = None, delete_before: int | None = None) -> DataFrame:
     """``ts, value`` of one series in [start, end) whose tags hold all given pairs, as a bag without order.
 
     Conditions on series and ts reach the scan; so does the choice of columns. Points before ``delete_before`` are hidden.
     """
     check_range(start, end)
-    lowest = max(start, delete_before or 0)
-    out = points.where((F.col("series") == F.lit(series)) & (F.col("ts") >= F.lit(lowest)))
-    if end is not None:
-        out = out.where(F.col("ts") < F.lit(end))
-    match = tag_match("tags", tags)
-    return (out if match is None else out.where(match)).select("ts", "value")
+    return points.where(condition(series, max(start, delete_before or 0), end, tags)).select("ts", "value")
 
 
 def series_stats(points: DataFrame, *keys: str) -> DataFrame:
@@ -58,3 +69,12 @@ def cardinality(points: DataFrame, scope_col) -> DataFrame:
     """``scope, series_keys``: the exact number of distinct series keys per scope."""
     keys = points.select(scope_col.alias("scope"), "series", canonical_tags("tags").alias("key_tags")).distinct()
     return keys.groupBy("scope").agg(F.count(F.lit(1)).alias("series_keys"))
+
+
+def rolled(points: DataFrame, before: int, step_ns: int) -> DataFrame:
+    """Points from ``before`` on as they are, and for those before it one for each series, tags and slot: the mean, at the slot's start."""
+    old = points.where(F.col("ts") < before).withColumn("key_tags", canonical_tags("tags"))
+    slot = (floor_div(F.col("ts"), step_ns) * step_ns).alias("ts")
+    means = old.groupBy("series", slot, "key_tags").agg(F.max("seq").alias("seq"), F.avg("value").alias("value"))
+    means = means.select("series", "ts", "seq", "value", F.map_from_entries("key_tags").alias("tags"))
+    return points.where(F.col("ts") >= before).select(*means.columns).unionByName(means)

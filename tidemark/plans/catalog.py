@@ -28,6 +28,14 @@ class Segment:
     min_ts: int
     max_ts: int
     max_seq: int
+    first_series: str
+    last_series: str
+    indexed: bool  #: whether its index has tag pairs
+    promoted: tuple[str, ...]  #: tags with a column of their own
+
+    def may_hold(self, series: str, start: int, end: int | None) -> bool:
+        """Whether, by its bounds, it can hold points of a series in [start, end)."""
+        return self.first_series <= series <= self.last_series and self.max_ts >= start and (end is None or self.min_ts < end)
 
 
 @dataclass(frozen=True)
@@ -35,6 +43,7 @@ class Manifest:
     version: int = 0
     next_segment_id: int = 1
     next_seq: int = 0
+    log_floor: int | None = None  #: logged points below this number are in segments; None before the first flush
     delete_before: int | None = None
     segments: tuple[Segment, ...] = ()
     obsolete: tuple[tuple[str, int], ...] = ()  #: (path, time of removal in ns), still to be deleted
@@ -45,6 +54,11 @@ class Manifest:
         """Greatest number in a live segment, -1 if there is none."""
         return max((s.max_seq for s in self.segments), default=-1)
 
+    @property
+    def replay_from(self) -> int:
+        """The number from which on points of the log are not yet in a segment."""
+        return max(self.max_persisted_seq + 1, self.next_seq) if self.log_floor is None else self.log_floor
+
 
 class ConcurrentWrite(EngineError):
     """Another writer has committed first; there must be one writer at a time."""
@@ -78,7 +92,7 @@ class Catalog:
             d = json.loads(body)
         except ValueError as e:
             raise Corruption(f"manifest {name}: {e}") from None
-        d["segments"] = tuple(Segment(**s) for s in d["segments"])
+        d["segments"] = tuple(Segment(**{**s, "promoted": tuple(s["promoted"])}) for s in d["segments"])
         d["obsolete"] = tuple((a, b) for a, b in d["obsolete"])
         return Manifest(**d)
 

@@ -434,7 +434,7 @@ SQL["postings_pruned_query"] = SQL["tag_filter_and"]
 def replay_tail(spark, d):
     e, points = Engine(spark, storage.new_path(spark, "engine")), _events(spark, d)
     e._store(points.where(F.col("seq") <= 500))
-    e.wal.append(points.where(F.col("seq") > 250), 251)
+    e.wal.append(points.where(F.col("seq") > 250), 251)  # as if the process had ended before it could empty the log
     e = Engine(spark, e.path)
     e.recover()
     return e.points().select("series", "ts", "seq", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import storage
 from tidemark.model import POINTS
+from tidemark.sources import segments
 
 
 class Snapshots:
@@ -25,5 +26,9 @@ class Snapshots:
 
     def latest(self) -> DataFrame | None:
         """Points of the newest snapshot, None if there is none."""
+        path = self.latest_path()
+        return segments.read(self.spark, [path]) if path else None
+
+    def latest_path(self) -> str | None:
         times = self.times()
-        return self.spark.read.schema(POINTS).parquet(f"{self.path}/snapshot-{times[-1]:019d}") if times else None
+        return f"{self.path}/snapshot-{times[-1]:019d}" if times else None

@@ -9,12 +9,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _staged: list[tuple[SparkSession, str]] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +41,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing else uses; what is put there is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _staged.append((spark, path))
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged by this thread inside the block are deleted at its end, but for those that ``keep`` was called for."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    made: list[tuple[SparkSession, str]] = []
+    stack.append(made)
+    try:
+        yield
+    finally:
+        stack.pop()
+        for spark, path in made:
+            _forget(path)
+            delete(spark, path)
+
+
+def keep(staged_df: DataFrame) -> DataFrame:
+    """Let a staged table outlive the present scopes; ``drop`` deletes it."""
+    for made in getattr(_scopes, "stack", []):
+        made[:] = [x for x in made if x[1] != staged_df._staged_at]
+    return staged_df
+
+
+def _forget(path: str) -> None:
+    _staged[:] = [x for x in _staged if x[1] != path]
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -83,7 +115,8 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    _staged.append((spark, path))
+    if getattr(_scopes, "stack", None):
+        _scopes.stack[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -91,9 +124,9 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def drop(staged_df: DataFrame) -> None:
     """Delete a staged table that nothing will read any more."""
-    path = staged_df._staged_at
-    _staged[:] = [x for x in _staged if x[1] != path]
-    delete(staged_df.sparkSession, path)
+    keep(staged_df)
+    _forget(staged_df._staged_at)
+    delete(staged_df.sparkSession, staged_df._staged_at)
 
 
 @atexit.register

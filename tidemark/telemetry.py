@@ -25,6 +25,11 @@ class Metrics:
         with self._lock:
             self.gauges[name, tuple(sorted(labels.items()))] = value
 
+    def add_gauge(self, name: str, by: float, **labels: str) -> None:
+        with self._lock:
+            key = (name, tuple(sorted(labels.items())))
+            self.gauges[key] = self.gauges.get(key, 0.0) + by
+
     def time(self, name: str, seconds: float) -> None:
         with self._lock:
             t = self.timings[name]
