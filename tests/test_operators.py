@@ -3,8 +3,10 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.clean import ts_to_ns
 from tidemark.functions.files import base_name
@@ -240,6 +242,35 @@ def test_ledger(spark, tmp_path):
     assert led.run(wal(spark, more)).count() == 0 and led.runs() == [0, 1, 2, 3]
 
 
+def test_ledger_subtracts_what_it_has_processed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MERGE_RUNS", 3)
+    led = incremental.Ledger(spark, f"file://{tmp_path}/ledger")
+    log = [(k, "Insert", k, float(k)) for k in range(10)]
+    assert led.run(wal(spark, log), lambda t: t.where("seq < 5").select(F.col("value") * 2)).count() == 5
+    assert led.run(wal(spark, log), lambda t: t).count() == 0
+    log += [(14, "Insert", 3, 33.0), (15, "Insert", 20, 1.0), (16, "Flush", None, None)]
+    assert sorted(r["seq"] for r in led.run(wal(spark, log)).collect()) == [3, 20]
+    # entries written late: a new record, a repeat, and one that an entry already processed has overtaken
+    log += [(11, "Insert", 30, 1.0), (12, "Insert", 4, 4.0), (13, "Insert", 3, 31.0)]
+    assert [r["seq"] for r in led.run(wal(spark, log)).collect()] == [30]
+    log += [(17, "Insert", 3, 3.0), (18, "Insert", 4, None), (19, "Insert", 5, float("nan"))]
+    assert sorted(r["seq"] for r in led.run(wal(spark, log)).collect()) == [3, 4, 5]
+    log += [(20, "Insert", 4, None), (21, "Insert", 5, float("nan")), (22, "Insert", 3, 33.0)]
+    rest = led.unseen(wal(spark, log))
+    assert rest.count() == 3 and re.search(r"entry_no#\w+ < 0", rest._jdf.queryExecution().optimizedPlan().toString())
+    assert [r["seq"] for r in led.run(wal(spark, log)).collect()] == [3]
+    assert [r["lo"] for r in led.processed().orderBy("lo").collect()] == [0, 20, 30]
+
+
+def test_adopted_contents(spark, tmp_path):
+    led = incremental.Ledger(spark, f"file://{tmp_path}/ledger")
+    led.adopt(spark.createDataFrame([(1, 1.0), (1, 5.0), (2, 2.0)], "seq long, value double"))
+    log = [(1, "Insert", 1, 5.0), (2, "Insert", 2, 3.0), (3, "Insert", 4, 4.0)]
+    assert sorted(r["seq"] for r in led.run(wal(spark, log)).collect()) == [2, 4]
+    with pytest.raises(ValueError):
+        led.adopt(spark.createDataFrame([], "seq long, value double"))
+
+
 # ---- small files
 
 

@@ -3,8 +3,8 @@
 What has been processed is kept as disjoint intervals of sequence numbers, not as one highest number: records that
 were committed late lie in gaps below it and are still found. A run subtracts the processed intervals from
 the available ones, processes the gaps, and commits its output together with the merged intervals in one rename.
-A number counts as processed only if what was persisted under it is the record's present content, so an amended
-record opens a gap again.
+With each number the content it was processed with is kept, so a record that is amended opens a gap again. The entries of the
+log that a run has seen are intervals too: a run reads only entries that no run has seen, however late they were written.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ def held_values(segment_rows: DataFrame, segments: DataFrame, within: DataFrame)
 def pending(latest: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The records of ``latest`` that ``held`` lacks in their present content, and the intervals after their commit.
 
+    For a store that has no ledger: what is processed is judged by all that it holds.
     Values are compared with NaN equal to NaN and null equal to null. Empty tables give empty results.
     """
     k = held.select(F.col("seq").alias("held_seq"), F.col("value").alias("held_value"))
@@ -55,53 +56,123 @@ def pending(latest: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return intervals.rows_in(latest, "seq", gaps), intervals.union(processed, gaps)
 
 
+SKIPS = 64  #: stretches of seen entries that a scan of the log is told to skip; the exact subtraction comes after it
+MERGE_RUNS = 16  #: runs after which the contents kept with the numbers are put into one table
+
+
 class Ledger:
-    """Outputs of the runs in ``path``, each in a folder of its own with the intervals processed up to and with it.
+    """Outputs of the runs in ``path``, each in a folder of its own with the state up to and with it.
 
-    A run writes into a temporary folder and becomes valid by the rename of that folder; what a failed run
-    leaves is never read and is cleared by the next one. There must be one writer at a time.
+    ``data`` is the output of a run, ``intervals`` the numbers processed, ``entries`` the entries of the log seen, ``held`` the
+    content (columns ``content``) that each number of the run was processed with. A run writes into a temporary folder and
+    becomes valid by the rename of that folder; what a failed run leaves is never read and is cleared by the next one. There
+    must be one writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, content: tuple[str, ...] = ("value",)):
+        self.spark, self.path, self.content = spark, path.rstrip("/"), content
 
     def runs(self) -> list[int]:
         names = [p.rsplit("/", 1)[1] for p, _, folder in storage.listing(self.spark, self.path) if folder]
         return sorted(int(n[4:]) for n in names if n.startswith("run-"))
 
-    def held(self) -> DataFrame | None:
-        """``seq, value`` of the latest output of each number, or None before the first run."""
+    def _set(self, name: str) -> DataFrame:
         done = self.runs()
         if not done:
-            return None
-        parts = [self.spark.read.parquet(f"{self.path}/run-{r}/data").select("seq", "value", F.lit(r).alias("run")) for r in done]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.groupBy("seq").agg(F.max(F.struct("run", "value")).alias("v")).select("seq", "v.value")
-
-    def processed(self) -> DataFrame | None:
-        """Intervals of the last run that succeeded."""
-        done = self.runs()
-        return self.spark.read.parquet(f"{self.path}/run-{done[-1]}/intervals") if done else None
+            return self.spark.createDataFrame([], "block long, lo long, hi long")
+        return self.spark.read.parquet(f"{self.path}/run-{done[-1]}/{name}")
 
-    def run(self, wal: DataFrame, process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """Process what is new or changed in ``wal`` and commit; returns the output of this run.
+    def processed(self) -> DataFrame:
+        """Intervals of the numbers processed by the runs that succeeded."""
+        return self._set("intervals")
 
-        The output of ``process`` must keep ``seq`` and ``value``; by default it is the records as they are.
+    def held(self) -> DataFrame | None:
+        """``seq, entry_no, run`` and the content columns of each number in each run since the last merge, None before the first run."""
+        paths = []
+        for r in reversed(self.runs()):
+            merged = f"{self.path}/run-{r}/held-all"
+            if storage.exists(self.spark, merged):
+                paths.append(merged)
+                break
+            paths.append(f"{self.path}/run-{r}/held")
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def adopt(self, held: DataFrame) -> None:
+        """Commit, as the first run, what has been persisted before there was a ledger: ``seq`` and the content columns.
+
+        A number may have several contents; a record with any of them is processed.
         """
-        for p, _, _ in storage.listing(self.spark, self.path):
-            if p.rsplit("/", 1)[1].startswith(".open-"):
-                storage.delete(self.spark, p)
-        number = max(self.runs(), default=-1) + 1
-        latest, held, before = latest_inserts(wal), self.held(), self.processed()
-        if held is None:
-            held = latest.select("seq", "value").limit(0)
-        todo, merged = pending(latest, held)
-        if before is not None:
-            merged = intervals.union(before, merged)
+        if self.runs():
+            raise ValueError(f"{self.path} has runs already")
+        with storage.scope():
+            kept = storage.staged(held.where(F.col("seq").isNotNull()).select("seq", F.lit(None).cast("long").alias("entry_no"), F.lit(0).alias("run"), *self.content), "held")
+            empty = self._set("entries")
+            self._commit(0, kept.select("seq", *self.content), kept, intervals.of_numbers(kept, "seq"), empty)
+
+    def _commit(self, number: int, data: DataFrame, held: DataFrame, processed: DataFrame, entries: DataFrame) -> DataFrame:
         temporary = f"{self.path}/.open-{number}"
-        (process(todo) if process else todo).write.parquet(f"{temporary}/data")
-        merged.write.parquet(f"{temporary}/intervals")
+        data.write.parquet(f"{temporary}/data")
+        before = self.held()
+        if number % MERGE_RUNS == MERGE_RUNS - 1 and before is not None:
+            both = before.unionByName(held)
+            last = both.groupBy("seq").agg(F.max("run").alias("run"))
+            both.join(last, ["seq", "run"], "left_semi").select(*held.columns).write.parquet(f"{temporary}/held-all")
+        else:
+            held.write.parquet(f"{temporary}/held")
+        processed.write.parquet(f"{temporary}/intervals")
+        entries.write.parquet(f"{temporary}/entries")
         storage.rename(self.spark, temporary, f"{self.path}/run-{number}")
         return self.spark.read.parquet(f"{self.path}/run-{number}/data")
+
+    def unseen(self, wal: DataFrame) -> DataFrame:
+        """Rows of the log whose entry no run has seen; entries without a number are always among them.
+
+        The longest stretches of seen entries reach the scan as pushed filters, the rest is subtracted exactly.
+        """
+        if not self.runs():
+            return wal
+        seen = self._set("entries")
+        for lo, hi in intervals.longest(seen, SKIPS):
+            wal = wal.where(F.col("entry_no").isNull() | (F.col("entry_no") < lo) | (F.col("entry_no") > hi))
+        return intervals.rows_in(wal, "entry_no", seen, inside=False)
+
+    def _changed(self, latest: DataFrame, before: DataFrame, processed: DataFrame) -> DataFrame:
+        """``seq`` of the records whose number is processed, but not with their present content.
+
+        An entry older than the one that was processed changes nothing. Only the contents in the span of these numbers are read.
+        """
+        known = storage.staged(intervals.rows_in(latest.select("seq", "entry_no", *self.content), "seq", processed), "known")
+        lo, hi = known.agg(F.min("seq"), F.max("seq")).first()
+        if lo is None:
+            return known.select("seq")
+        was = before.where(F.col("seq").between(lo, hi)).select(F.col("seq"), F.col("run"), F.col("entry_no").alias("was_no"), *[F.col(c).alias(f"was_{c}") for c in self.content])
+        same = F.lit(True)
+        for c in self.content:
+            same = same & F.col(c).eqNullSafe(F.col(f"was_{c}"))
+        stale = F.coalesce(F.col("was_no") > F.col("entry_no"), F.lit(False))
+        judged = known.join(was, "seq", "left").groupBy("seq").agg(F.max(F.struct(F.coalesce("run", F.lit(-1)).alias("run"), (same | stale).alias("same"))).alias("last"))
+        return judged.where(~F.col("last.same")).select("seq")
+
+    def run(self, wal: DataFrame, process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Process what is new or changed in ``wal`` and commit; returns the output of this run.
+
+        ``process`` gets the latest unprocessed entry of each record and may filter or change it at will; by default the records
+        come out as they are. Values are compared with NaN equal to NaN and null equal to null. An entry that repeats
+        the content a number was processed with is seen and not processed again. An empty log gives an empty run.
+        """
+        with storage.scope():
+            for p, _, _ in storage.listing(self.spark, self.path):
+                if p.rsplit("/", 1)[1].startswith(".open-"):
+                    storage.delete(self.spark, p)
+            number = max(self.runs(), default=-1) + 1
+            processed, before, rows = self.processed(), self.held(), self.unseen(wal)
+            latest = storage.staged(latest_inserts(rows), "latest")
+            available, still = intervals.of_numbers(latest, "seq"), processed
+            if before is not None:
+                still = intervals.subtract(processed, intervals.of_numbers(self._changed(latest, before, processed), "seq"))
+            gaps = intervals.subtract(available, still)
+            todo = storage.staged(intervals.rows_in(latest, "seq", gaps), "todo")
+            held = todo.select("seq", "entry_no", F.lit(number).alias("run"), *self.content)
+            merged = intervals.union(processed, intervals.of_numbers(todo, "seq"))
+            entries = intervals.union(self._set("entries"), intervals.of_numbers(rows.select("entry_no"), "entry_no"))
+            return self._commit(number, process(todo) if process else todo, held, merged, entries)

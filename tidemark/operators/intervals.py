@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.clean import floor_div
 
 BLOCK = 1 << 16
+SUPER = 1 << 12  #: blocks over which ``longest`` joins neighbouring intervals
 
 
 def of_numbers(numbers: DataFrame, column: str) -> DataFrame:
@@ -62,8 +63,11 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return _combine(a, b, F.col("in_a") & F.col("in_b"))
 
 
-def rows_in(rows: DataFrame, column: str, intervals: DataFrame) -> DataFrame:
-    """The rows whose number lies in an interval. One pass in order of the numbers of each block, no join by range."""
+def rows_in(rows: DataFrame, column: str, intervals: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose number lies in an interval, or those whose number does not (a null does not).
+
+    One pass in order of the numbers of each block, no join by range.
+    """
     keys = [F.col(c) for c in rows.columns]
     tagged = rows.where(F.col(column).isNotNull()).select(
         floor_div(F.col(column), BLOCK).alias("__block"), F.col(column).alias("__at"), F.lit(None).cast("long").alias("__hi"),
@@ -74,9 +78,30 @@ def rows_in(rows: DataFrame, column: str, intervals: DataFrame) -> DataFrame:
         F.lit(None).cast(tagged.schema["__row"].dataType).alias("__row"),
     )
     order = Window.partitionBy("__block").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    lies = F.coalesce(F.col("__reach") >= F.col("__at"), F.lit(False))
+    out = (
         tagged.unionByName(marks)
         .withColumn("__reach", F.max("__hi").over(order))
-        .where(F.col("__row").isNotNull() & (F.col("__reach") >= F.col("__at")))
+        .where(F.col("__row").isNotNull() & (lies if inside else ~lies))
         .select("__row.*")
     )
+    return out if inside else out.unionByName(rows.where(F.col(column).isNull()))
+
+
+def longest(intervals: DataFrame, k: int, gather: int = 10_000) -> list[tuple[int, int]]:
+    """At most ``k`` long stretches of a set, each without a hole, in order; meant for conditions that a scan can skip by.
+
+    At most ``gather`` rows come to the driver. Of a set with more pieces the result is no less true, only shorter.
+    """
+    over = Window.partitionBy("sup").orderBy("lo")
+    pieces = intervals.select(floor_div(F.col("block"), SUPER).alias("sup"), "lo", "hi")
+    joins = F.coalesce(F.lag("hi").over(over) + 1 == F.col("lo"), F.lit(False))
+    pieces = pieces.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("new").over(over))
+    pieces = pieces.groupBy("sup", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out: list[list[int]] = []
+    for lo, hi in sorted(tuple(r) for r in pieces.orderBy((F.col("hi") - F.col("lo")).desc()).limit(gather).select("lo", "hi").collect()):
+        if out and out[-1][1] + 1 == lo:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return sorted(tuple(x) for x in sorted(out, key=lambda x: x[0] - x[1])[:k])
