@@ -190,6 +190,23 @@ def test_late_by_both_views(spark, monkeypatch):
     assert served == [(True, 2)]
 
 
+def test_later_batches_read_open_hours_only(spark, monkeypatch, tmp_path):
+    read = []
+    inner = late.with_cutoff
+    monkeypatch.setattr(late, "with_cutoff", lambda rows, *a: read.append(rows.count()) or inner(rows, *a))
+    rows = random_points(5)
+    points(spark, rows).write.parquet(str(tmp_path / "log"))
+    views = late.LambdaHours(spark.read.parquet(str(tmp_path / "log")), catalog(spark, [("a", 1, 600, None, None)]), keep_late=True)
+    for n in (100, 150, 200, 260, 400):
+        views.batch(n)
+        upto = [r for r in rows if r[2] is not None and r[2] < n]
+        out, hours = brute_late(upto, {"a": 600})
+        assert {r[0] for r in views.serve_late().collect()} == out
+        got = {(r["series"], r["hour"]): (r["points"], round(r["total"] or 0, 9), r["left_out"]) for r in views.serve().collect()}
+        assert got == {k: (x[0], round(x[1], 9), x[2]) for k, x in hours.items()}
+    assert all(n < len([r for r in rows if r[2] is not None and r[2] < upto]) for n, upto in zip(read[1:], (150, 200, 260, 400)))
+
+
 # ---- incremental runs
 
 

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import storage
-from tidemark.functions.clean import NS_PER_HOUR, clean_points, floor_div, is_finite
+from tidemark.functions.clean import NS_PER_HOUR, clean_points, floor_div, is_finite, ts_to_ns
 
 BLOCK = 1 << 16  #: numbers of arrival in a block of the running maximum
 SUPER = 1 << 12  #: blocks in a block of the scan over block maxima
+COARSE = 10**17  #: a raw ts below this may be in a coarser unit than ns
 
 
 def lateness(catalog: DataFrame) -> DataFrame:
@@ -89,6 +90,21 @@ def hourly(marked: DataFrame) -> DataFrame:
     )
 
 
+def _open_rows(log: DataFrame, frozen_to: DataFrame, since: int) -> DataFrame:
+    """Rows of the log whose hour is not frozen, with ts as it is in the log; ``frozen_to`` has a row per series seen before ``since``.
+
+    The least bound reaches the scan as a filter on the raw ts; a ts in a coarser unit is a smaller number and passes it, and so
+    does all that has arrived since, as it can be of a series that was not seen before.
+    """
+    low = frozen_to.agg(F.min("frozen_to")).first()[0]
+    if low is None:
+        return log
+    near = log.where((F.col("seq") >= since) | (F.col("ts") > low - NS_PER_HOUR) | (F.col("ts") < COARSE))
+    ends = (floor_div(ts_to_ns(F.col("ts")), NS_PER_HOUR) + 1) * NS_PER_HOUR
+    known = near.join(frozen_to, "series", "left").where(F.col("frozen_to").isNull() | (ends > F.col("frozen_to")))
+    return known.select(*log.columns)
+
+
 class LambdaHours:
     """The two views over an append-only log of points, kept as tables in the shared folder.
 
@@ -96,9 +112,13 @@ class LambdaHours:
     one row per series, the greatest time seen. ``batch(to_seq)`` recomputes the open hours from the full log before
     ``to_seq``, keeps the frozen ones, and drops what the fast view holds up to there. ``serve()`` is the merged view.
     Every table is written under a new name and becomes visible by one assignment after its write has ended, so
-    a run that fails leaves the views as they were and can be repeated. Within a step a row repeated
-    as a whole counts once; repeats across steps are put right by the next ``batch``. With ``keep_late`` both views
-    also hold the ``seq`` of the records they leave out, which ``serve_late()`` merges.
+    a run that fails leaves the views as they were and can be repeated; what a view no longer needs is deleted when the one that
+    replaces it is there. Within a step a row repeated as a whole counts once; repeats across steps are put right by the
+    next ``batch``. With ``keep_late`` both views also hold the ``seq`` of the records they leave out, which ``serve_late()`` merges.
+
+    A batch after the first does not judge the history again. An hour is frozen when its series has reached the end of
+    it plus the lateness, so all that comes for it later is late and is only counted. Of the log it reads records in open
+    hours, whose lateness no record of a frozen hour can decide, and records that arrived since the last batch.
     """
 
     def __init__(self, log: DataFrame, catalog: DataFrame, keep_late: bool = False):
@@ -106,72 +126,101 @@ class LambdaHours:
         self.keep_late = keep_late
         self.batch_view: DataFrame | None = None
         self.batch_late: DataFrame | None = None
+        self.frozen_to: DataFrame | None = None  #: per series, the time up to which hours are frozen, and the greatest seen
+        self.batch_to: int | None = None
         self.fast_steps: list[tuple[int | None, int, DataFrame, DataFrame | None]] = []  #: (from, to, increments, late)
         self.seen: DataFrame | None = None
         self.next_seq: int | None = None
 
     @staticmethod
     def _greatest_times(rows: DataFrame) -> DataFrame:
-        return clean_points(rows).groupBy("series").agg(F.max("ts").alias("seen"))
+        return clean_points(rows).where(F.col("seq").isNotNull()).groupBy("series").agg(F.max("ts").alias("seen"))
 
-    def fast(self, to_seq: int) -> None:
-        """Provisional increments of the records that arrived since the last step and before ``to_seq``."""
-        step = self._step(self.next_seq, to_seq, self.seen)
-        seen = self._greatest_times(self._part(self.next_seq, to_seq))
-        if self.seen is not None:
-            seen = self.seen.unionByName(seen).groupBy("series").agg(F.max("seen").alias("seen"))
-        seen = storage.staged(seen, "seen")
-        self.seen, self.fast_steps, self.next_seq = seen, [*self.fast_steps, step], to_seq
-
-    def _part(self, from_seq: int | None, to_seq: int) -> DataFrame:
-        part = self.log.where(F.col("seq") < to_seq)
+    @staticmethod
+    def _greatest(*parts: DataFrame | None) -> DataFrame:
+        out = None
+        for p in parts:
+            if p is not None:
+                out = p.select("series", "seen") if out is None else out.unionByName(p.select("series", "seen"))
+        return out.groupBy("series").agg(F.max("seen").alias("seen"))
+
+    def _part(self, from_seq: int | None, to_seq: int | None) -> DataFrame:
+        part = self.log if to_seq is None else self.log.where(F.col("seq") < to_seq)
         return part if from_seq is None else part.where(F.col("seq") >= from_seq)
 
-    def _step(self, from_seq: int | None, to_seq: int, seen: DataFrame | None) -> tuple[int | None, int, DataFrame, DataFrame | None]:
-        marked, late = self._marked(self._part(from_seq, to_seq), seen)
-        return from_seq, to_seq, storage.staged(hourly(marked), "fast"), late
-
-    def _marked(self, rows: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """Rows with their cut-off and, if they are kept, the numbers of the late ones; the cut-off is computed once."""
-        marked = with_cutoff(rows, self.catalog, seen)
+    def _views(self, rows: DataFrame, floor: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """Hourly aggregates of rows and, if they are kept, the late ones (``series, hour, seq``); the cut-off is computed once."""
+        marked = with_cutoff(rows, self.catalog, floor)
         if not self.keep_late:
-            return marked, None
+            return storage.staged(hourly(marked), name), None
         marked = storage.staged(marked, "marked")
-        return marked, marked.where("late").select("seq").distinct()
+        return storage.staged(hourly(marked), name), storage.staged(marked.where("late").select("series", "hour", "seq").distinct(), "late")
+
+    def _step(self, from_seq: int | None, to_seq: int, floor: DataFrame | None) -> tuple[int | None, int, DataFrame, DataFrame | None]:
+        view, late = self._views(self._part(from_seq, to_seq), floor, "fast")
+        return from_seq, to_seq, storage.keep(view), None if late is None else storage.keep(late)
+
+    def _drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None:
+                storage.drop(t)
+
+    def fast(self, to_seq: int) -> None:
+        """Provisional increments of the records that arrived since the last step and before ``to_seq``."""
+        with storage.scope():
+            step = self._step(self.next_seq, to_seq, self.seen)
+            seen = self._greatest(self.seen, self._greatest_times(self._part(self.next_seq, to_seq)))
+            seen = storage.keep(storage.staged(seen, "seen"))
+        old = self.seen
+        self.seen, self.fast_steps, self.next_seq = seen, [*self.fast_steps, step], to_seq
+        self._drop(old)
 
     def batch(self, to_seq: int | None = None) -> None:
         """Recompute the open hours from the log before ``to_seq`` (all of it if None); freeze those past cut-off."""
-        log = self.log if to_seq is None else self.log.where(F.col("seq") < to_seq)
-        seen = storage.staged(self._greatest_times(log), "seen")
-        bound = seen.join(lateness(self.catalog), "series", "left").select(
-            "series", (F.col("seen") - F.coalesce("late_ns", F.lit(0))).alias("frozen_to")
-        )
-        marked, late = self._marked(log)
-        frozen = None
-        if self.batch_view is not None:
-            frozen = self.batch_view.where("frozen")
-            done = frozen.select("series", "hour")
-            # of a frozen hour, only the count of what is left out can still change
-            again = hourly(marked.where("late").join(done, ["series", "hour"], "left_semi")).select("series", "hour", "left_out")
-            frozen = frozen.drop("left_out").join(again, ["series", "hour"], "left")
-            frozen = frozen.withColumn("left_out", F.coalesce("left_out", F.lit(0)))
-            marked = marked.join(done, ["series", "hour"], "left_anti")
-        view = hourly(marked).join(bound, "series", "left").withColumn(
-            "frozen", (F.col("hour") + 1) * NS_PER_HOUR <= F.col("frozen_to")
+        with storage.scope():
+            view, late, bounds = self._batch(to_seq)
+            later = [] if to_seq is None else [s for s in self.fast_steps if s[1] > to_seq]
+            # of a step that the batch reaches into, only the rest is kept
+            cut = [s for s in later if s[0] is None or s[0] < to_seq]
+            later = [self._step(to_seq, s[1], bounds) if s in cut else s for s in later]
+        gone = [self.batch_view, self.batch_late, self.frozen_to]
+        gone += [t for s in self.fast_steps if s not in later for t in s[2:]]
+        self.batch_view, self.batch_late, self.frozen_to, self.batch_to, self.fast_steps = view, late, bounds, to_seq, later
+        if to_seq is not None and (self.next_seq is None or to_seq > self.next_seq):
+            gone.append(self.seen)
+            self.seen, self.next_seq = storage.keep(storage.staged(bounds.select("series", "seen"), "seen")), to_seq
+        self._drop(*gone)
+
+    def _batch(self, to_seq: int | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        log = self._part(None, to_seq)
+        again = self.frozen_to is not None and self.batch_to is not None and (to_seq is None or to_seq >= self.batch_to)
+        arrived = self._part(self.batch_to, to_seq) if again else log
+        seen = self._greatest(self.frozen_to if again else None, self._greatest_times(arrived))
+        bounds = seen.join(lateness(self.catalog), "series", "left").select(
+            "series", "seen", (F.col("seen") - F.coalesce("late_ns", F.lit(0))).alias("frozen_to")
         )
-        view = view.drop("frozen_to")
-        if frozen is not None:
+        bounds = storage.keep(storage.staged(bounds, "bounds"))
+        ends = (F.col("hour") + 1) * NS_PER_HOUR
+        if not again:
+            view, late = self._views(log, None, "hours")
+        else:
+            was = self.frozen_to.select("series", F.col("frozen_to").alias("was"))
+            view, late = self._views(_open_rows(log, self.frozen_to.select("series", "frozen_to"), self.batch_to), None, "hours")
+            # what has arrived since for an hour that was frozen is late, whatever else it is
+            missed = clean_points(arrived).where(F.col("seq").isNotNull()).withColumn("hour", floor_div(F.col("ts"), NS_PER_HOUR))
+            missed = storage.staged(missed.join(was, "series").where(ends <= F.col("was")).select("series", "hour", "seq", "ts", "value").distinct(), "missed")
+            counts = missed.groupBy("series", "hour").agg(F.count(F.lit(1)).alias("more"))
+            frozen = self.batch_view.where("frozen").drop("frozen").join(counts, ["series", "hour"], "full")
+            frozen = frozen.withColumns({"points": F.coalesce("points", F.lit(0)), "left_out": F.coalesce("left_out", F.lit(0)) + F.coalesce("more", F.lit(0))}).drop("more")
             view = frozen.unionByName(view)
-        view = storage.staged(view, "batch")
-        later = [] if to_seq is None else [s for s in self.fast_steps if s[1] > to_seq]
-        # of a step that the batch reaches into, only the rest is kept
-        later = [s if s[0] is not None and s[0] >= to_seq else self._step(to_seq, s[1], seen) for s in later]
-        self.batch_view, self.batch_late, self.fast_steps = view, late, later
-        if to_seq is not None and (self.next_seq is None or to_seq > self.next_seq):
-            self.seen, self.next_seq = seen, to_seq
+            if late is not None:
+                kept = self.batch_late.join(was, "series").where(ends <= F.col("was")).drop("was")
+                late = storage.staged(late.unionByName(kept).unionByName(missed.select("series", "hour", "seq")).distinct(), "late")
+        view = view.join(bounds.select("series", "frozen_to"), "series", "left").withColumn("frozen", ends <= F.col("frozen_to")).drop("frozen_to")
+        return storage.keep(storage.staged(view, "batch")), None if late is None else storage.keep(late), bounds
 
     def serve(self) -> DataFrame:
-        """``series, hour, points, total, low, high, left_out`` of the batch view plus the steps after it."""
+        """``series, hour, points, total, low, high, left_out`` of the batch view plus the steps after it; to be read before the next step."""
         names = ["series", "hour", "points", "total", "low", "high", "left_out"]
         parts = [step.select(*names) for _, _, step, _ in self.fast_steps]
         if self.batch_view is not None:
@@ -188,7 +237,7 @@ class LambdaHours:
 
     def serve_late(self) -> DataFrame:
         """``seq`` of the records left out by the batch view and by the steps after it, each once; needs ``keep_late``."""
-        parts = [late for late in (self.batch_late, *(s[3] for s in self.fast_steps)) if late is not None]
+        parts = [late.select("seq") for late in (self.batch_late, *(s[3] for s in self.fast_steps)) if late is not None]
         out = parts[0] if parts else late_points(self.log.limit(0), self.catalog)
         for p in parts[1:]:
             out = out.unionByName(p)

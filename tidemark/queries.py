@@ -192,24 +192,35 @@ marked AS (SELECT *, coalesce(seen >= (hour + 1) * 3600000000000 + ln, false) AS
 SQL["p7_found"] = f"WITH {LATE} SELECT DISTINCT seq FROM marked WHERE late"
 
 
-@query
-def p7_hourly(spark, d):
+def _hours(spark: SparkSession, d: str, *shares: tuple[str, int]) -> DataFrame:
+    """Hours served after steps (``batch`` or ``fast``) that reach so many eighths of the numbers of arrival."""
     points = table(spark, d, "points")
     lo, hi = points.agg(F.min("seq"), F.max("seq")).first()
     views = late.LambdaHours(points, table(spark, d, "series_catalog"))
-    if lo is not None:
-        views.batch(lo + (hi - lo) // 2)
-        views.fast(lo + (hi - lo) * 3 // 4)
-    views.batch()
+    for step, share in shares if lo is not None else ():
+        getattr(views, step)(lo + (hi + 1 - lo) * share // 8)
     return views.serve().withColumn("total", F.round("total", 6))
 
 
+@query
+def p7_hourly(spark, d):
+    return _hours(spark, d, ("batch", 4), ("fast", 6), ("fast", 8))
+
+
 SQL["p7_hourly"] = f"""
 WITH {LATE}, f AS (SELECT *, NOT late AND NOT isnan(value) AND NOT isinf(value) AS used FROM marked)
 SELECT series, hour, count(*) FILTER (used) AS points, round(sum(value) FILTER (used), 6) AS total, min(value) FILTER (used) AS low,
  max(value) FILTER (used) AS high, count(*) FILTER (late) AS left_out FROM f GROUP BY 1, 2"""
 
 
+@query
+def p7_rebatched(spark, d):
+    return _hours(spark, d, ("batch", 3), ("fast", 5), ("batch", 6), ("fast", 7), ("fast", 8), ("batch", 7))
+
+
+SQL["p7_rebatched"] = SQL["p7_hourly"]
+
+
 # ---- storage and retrieval, over events as points
 
 P = """p AS (SELECT event_type AS series, epoch_us(ts) * 1000 AS ts, event_id AS seq, value,
