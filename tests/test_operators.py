@@ -316,6 +316,22 @@ def test_small_files(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") != str(small_files.OPEN_COST)
 
 
+@pytest.mark.parametrize("words", [500_000, 40, 3])
+def test_repeats_in_waves_without_a_shuffle_of_rows(spark, tmp_path, monkeypatch, words):
+    """A third of all rows is one record; others are repeated within and between files."""
+    monkeypatch.setattr(small_files, "WAVE_WORDS", words)
+    rnd = random.Random(2)
+    rows = [(f"f{rnd.randrange(9)}", "a", 1, 0 if rnd.random() < 0.33 else rnd.randrange(3000), 1.0, {"k": "v"}, "y", 1) for _ in range(5000)]
+    spark.createDataFrame(rows, ROW).repartition(4).write.parquet(str(tmp_path / "rows x"))
+    segs = spark.createDataFrame([(k, 1, 0, f"f{k}", None, "x") for k in range(7)], SEG)
+    c = small_files.compact(spark, str(tmp_path / "rows x"), segs, str(tmp_path / "out"))
+    live = [r for r in rows if int(r[0][1]) < 7]
+    assert sorted(r["seq"] for r in c.records.collect()) == sorted({r[3] for r in live})
+    want = {(r[3], r[0]) for r in live}
+    assert {(r["seq"], r["file"]) for r in c.presence.collect()} == want
+    assert c.files_out <= (2 if words == 500_000 else 200)
+
+
 def test_failed_verification_publishes_nothing(spark, tmp_path, monkeypatch):
     segs = spark.createDataFrame([(1, None, 0, "a", None, "x")], SEG)
     spark.createDataFrame([("a", "a", 1, 1, 1.0, {}, "y", 3)], ROW).write.parquet(str(tmp_path / "rows"))

@@ -44,6 +44,7 @@ def _compacted(spark: SparkSession, d: str) -> small_files.Compaction:
 
 @query
 def p2_found(spark, d):
+    # from the packed output and the list of copies that is published with it
     return small_files.overlapping_segments(_compacted(spark, d).presence, table(spark, d, "segments"))
 
 
