@@ -444,3 +444,40 @@ def test_forest_ranks_the_rare_first():
     codes = np.array([0, 1, 2, 32, 31 * 32**2, 31])
     s = spikes.isolation_scores(codes, np.array([500.0, 300, 200, 100, 0, 1]), 1)
     assert min(s[4], s[5]) > max(s[:4]) and (0 < s).all() and (s < 1).all()
+
+
+def test_forest_decides_between_candidates(spark):
+    """With heavy tails many readings pass the exact check; the forest of the source rejects some and keeps what stands out."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    y = rng.laplace(0, 1, 6000).cumsum() * 0.02 + rng.laplace(0, 1, 6000)
+    y[3000] += 60
+    noise = float(np.median(np.abs(np.diff(y))))
+    passes = set(np.flatnonzero(spikes.departures(y, noise) >= 1.2 * spikes.LEAST_SPIKE).tolist())
+    rows = [("s", T0 + i * 60 * SEC, i, float(v)) for i, v in enumerate(y)]
+    found = {r["seq"] for r in spikes.judged(points(spark, rows), catalog(spark, []), False).collect() if r["reason"] == "spike"}
+    assert 3000 in found and passes - found
+
+
+@pytest.mark.parametrize("scale", [1e-11, 1.0, 1e9])
+def test_spikes_do_not_depend_on_the_unit(spark, scale):
+    rows, bad = readings(5)
+    rows = [(s, t, q, v if v is None else v * scale) for s, t, q, v in rows]
+    found = {r[0] for r in spikes.implausible(points(spark, rows), catalog(spark, [])).collect()}
+    assert found == bad
+
+
+def test_faulty_readings_at_the_border_of_a_block(spark, monkeypatch):
+    """Blocks whose outer readings are not finite or beyond the limits still get neighbours that can be used."""
+    rnd = random.Random(3)
+    rows = [["s", T0 + i * 60 * SEC, i, rnd.gauss(10, 1)] for i in range(1200)]
+    for i in range(560, 640):
+        rows[i][3] = math.nan if i % 2 else 9999.0
+    rows[559][3] = rows[640][3] = 60.0
+    got = []
+    for size in (20_000, 600):
+        monkeypatch.setattr(spikes, "BLOCK_ROWS", size)
+        r = spikes.judged(points(spark, [tuple(x) for x in rows]), catalog(spark, [("s", 1, 0, None, 100.0)]), False).collect()
+        got.append(sorted((x["seq"], x["reason"]) for x in r))
+    assert got[0] == got[1] and len(got[0]) >= 80 and {559, 640} <= {q for q, _ in got[0]} | {559, 640}

@@ -3,8 +3,10 @@
 A reading is judged against its own source only, by four features: its distance from the local level, its departure
 from the readings on both sides (difference), its distance from what is usual at that hour of the day (seasonal), and
 the length of the run of equal values it belongs to against the runs the source normally has. An isolation forest per
-source scores every reading. What it finds unusual is then checked exactly, and explicit rules
-flag values that are not finite or beyond the physical limits.
+source scores every reading, and each run by its length alone. What scores at least as much as the source's own forest gives to
+a point between two reference readings (``ORDINARY`` and ``REFERENCE``) or a reference run (``FAR_LONGER`` times as long as usual) is unusual. An exact
+check drops what is unusual for no reason: a spike must stand off from both sides by ``LEAST_SPIKE``, a stuck run be longer than
+others by ``LEAST_LONGER``. Explicit rules flag values that are not finite or beyond the physical limits.
 
 Scale. A source is cut into blocks of about ``BLOCK_ROWS`` readings at quantiles of its times, so a hot source is many
 tasks. After the one shuffle that brings a block together it is a single row with arrays of ordered readings; all later
@@ -29,14 +31,20 @@ from tidemark import storage
 from tidemark.functions.clean import NS_PER_HOUR, clean_points
 
 BLOCK_ROWS = 20_000
-MOST_BLOCKS = 10_000  #: of a source; beyond ``BLOCK_ROWS`` times this, blocks grow
-HALO = 24  #: readings exchanged between neighbouring blocks
+MOST_BLOCKS = 10_000  #: of a source; beyond ``BLOCK_ROWS`` times this, blocks grow: 2 million readings (48 MB) for a source of 2 * 10**10
+HALO = 24  #: usable readings exchanged between neighbouring blocks
 BURST = 3  #: readings that a spike lasts at most
-SPIKE = 5.5  #: departure of a spike, in units of the source's median change
+SPIKE = 5.5  #: departure beyond which a burst is taken out before longer ones are looked for, in units of the source's median change
+REFERENCE = (6.0, 6.0, 1.0, 0.0)  #: level, difference, season and run length of a reference spike
+ORDINARY = (3.5, 3.5, 1.0, 0.0)  #: those of a reference reading that is unusual but none
+BETWEEN = 0.6  #: where between the scores of the two a reading becomes a spike
+LEAST_SPIKE = 4.5  #: departure below which nothing is a spike, however it scores
 SAME = 0.01  #: changes below this share of the median change are none
 LEVELS = 32  #: steps of a rounded feature
 SHORTEST = 6  #: readings in a stuck run at least
-FAR_LONGER = 3.0  #: a stuck run is so many times as long as the source's long runs
+FAR_LONGER = 3.0  #: the reference run is so many times as long as the source's long runs
+LEAST_LONGER = 2.1  #: a run below so many times that length is not stuck, however it scores
+NO_CHANGE = 1e-11  #: changes of at most this share of a value are rounding
 TREES, SAMPLE, DEPTH = 50, 128, 7  #: of an isolation forest; SAMPLE is drawn for each tree from all weighted codes
 BROADCAST_BYTES = 32 << 20  #: summaries up to this size are sent to all executors, larger ones are joined by shuffle
 BLOCKS_AT_A_TIME = 8  #: blocks in an Arrow batch
@@ -79,11 +87,11 @@ def _with(blocks: DataFrame, summary: DataFrame, rows: int, bytes_each: int, on:
 
 
 def _cut(points: DataFrame, sources: DataFrame, largest: int) -> DataFrame:
-    """``source, block, ts, seq, value``: readings with the number of their source and block."""
+    """``source, block, ts, seq, value, lo, hi``: readings with the number of their source and block."""
     parts = min(MOST_BLOCKS, -(-largest // BLOCK_ROWS))
     rows = points.join(sources, "series")
     if parts < 2:
-        return rows.select("source", F.lit(0).alias("block"), "ts", "seq", "value")
+        return rows.select("source", F.lit(0).alias("block"), "ts", "seq", "value", "lo", "hi")
     # only sources of more than one block need quantiles; one row for each, made from sketches that merge
     own = F.least(F.lit(parts), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
     share = [k / parts for k in range(1, parts)]
@@ -96,7 +104,7 @@ def _cut(points: DataFrame, sources: DataFrame, largest: int) -> DataFrame:
         "cuts",
     )
     block = F.aggregate("cuts", F.lit(0), lambda s, c: s + F.when(c <= F.col("ts"), 1).otherwise(0))
-    return rows.join(cuts, "source", "left").select("source", F.coalesce(block, F.lit(0)).alias("block"), "ts", "seq", "value")
+    return rows.join(cuts, "source", "left").select("source", F.coalesce(block, F.lit(0)).alias("block"), "ts", "seq", "value", "lo", "hi")
 
 
 BLOCKS = "source int, block int, ts binary, seq binary, value binary, head binary, tail binary, changes binary, hours binary"
@@ -124,7 +132,11 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     y = value[finite]
     with np.errstate(over="ignore"):
         change = np.abs(np.diff(y))
-    bins, n = np.unique(np.floor(np.log2(change[(change > 1e-9) & np.isfinite(change)]) * 16).astype(np.int64), return_counts=True)
+    real = (change > NO_CHANGE * np.maximum(np.abs(y[1:]), np.abs(y[:-1]))) & np.isfinite(change)
+    bins, n = np.unique(np.floor(np.log2(change[real]) * 16).astype(np.int64), return_counts=True)
+    lo, hi = (float(rows[c].iloc[0]) for c in ("lo", "hi"))
+    usable = np.flatnonzero(finite & ~(value < lo) & ~(value > hi))
+    head, tail = (len(ts), 0) if len(usable) <= HALO else (usable[HALO - 1] + 1, usable[-HALO])
     hour, hours = (ts[finite] // NS_PER_HOUR) % 24, np.full((24, 4), np.nan)
     by_hour = np.argsort(hour, kind="stable")
     cut = np.searchsorted(hour[by_hour], np.arange(25))
@@ -132,7 +144,7 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = y[by_hour[cut[h] : cut[h + 1]]]
         if len(v):
             hours[h] = [len(v), *np.quantile(v, [0.25, 0.5, 0.75], method="nearest")]
-    row = (key[0], key[1], ts.tobytes(), seq.tobytes(), value.tobytes(), _edge(ts, seq, value, slice(0, HALO)), _edge(ts, seq, value, slice(-HALO, None)),
+    row = (key[0], key[1], ts.tobytes(), seq.tobytes(), value.tobytes(), _edge(ts, seq, value, slice(0, head)), _edge(ts, seq, value, slice(tail, None)),
            np.concatenate([bins, n]).tobytes(), hours.tobytes())
     return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -238,7 +250,9 @@ def displaced(ts: np.ndarray, seq: np.ndarray, y: np.ndarray, noise: float) -> n
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
-    return np.minimum(LEVELS - 1, np.floor(4 * np.log2(1 + x))).astype(np.int32)
+    """Four steps to a doubling of 1 + x below 4, where most readings are, and eight beyond it, where they are judged."""
+    octave = np.log2(1 + x)
+    return np.clip(np.floor(np.where(octave < 2, 4 * octave, 8 * octave - 8)), 0, LEVELS - 1).astype(np.int32)
 
 
 FEATURES = (
@@ -282,7 +296,7 @@ def _features(b: pd.Series) -> tuple:
         level[at] = (np.abs(z - middle) / noise)[back]
         season = np.frombuffer(b["season"], float).reshape(24, 2)[(ts[at] // NS_PER_HOUR) % 24]
         seasonal[at] = np.nan_to_num(np.abs(y - season[:, 0]) / (season[:, 1] + noise))
-        flags[at[jump[at] >= SPIKE]] |= JUMPS
+        flags[at[jump[at] >= LEAST_SPIKE]] |= JUMPS
     own = np.flatnonzero((at >= mine.start) & (at < mine.stop))
     if len(own):
         same = np.abs(np.diff(y)) <= SAME * noise
@@ -310,7 +324,7 @@ def _features(b: pd.Series) -> tuple:
 
 
 def _value_key(v: np.ndarray, noise: float) -> np.ndarray:
-    return np.round(v / max(noise * SAME * 10, 1e-9))
+    return np.round(v / (noise * SAME * 10)) if noise > 0 else v
 
 
 RUNS = "source int, block int, first_length long, last_length long, run_longest double, resting binary"
@@ -370,7 +384,7 @@ def _runs(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def _full_codes(b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes with the fourth feature, flags, and whether the run of a reading is too long."""
+    """Codes with the fourth feature, flags, and the length of the run of a reading as a share of the longest that is not stuck."""
     codes, flags = np.frombuffer(b["codes"], np.int32), np.frombuffer(b["flags"], np.uint8)
     usable = np.flatnonzero((flags & RULED) == 0)
     share = np.zeros(len(codes))
@@ -386,7 +400,7 @@ def _full_codes(b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for key, limit in rest:
                 longest[keys == key] = limit
         share[usable] = length / longest
-    return codes * LEVELS + _rounded(share), flags, share >= 1
+    return codes * LEVELS + _rounded(share), flags, share
 
 
 def _weights(b: pd.Series) -> Iterator[tuple]:
@@ -398,9 +412,11 @@ def _weights(b: pd.Series) -> Iterator[tuple]:
         yield (b["source"], c, float(w))
 
 
-def isolation_scores(codes: np.ndarray, weights: np.ndarray, seed: int) -> np.ndarray:
+def isolation_scores(codes: np.ndarray, weights: np.ndarray, seed: int, always: np.ndarray | None = None) -> np.ndarray:
     """Score (0 to 1, higher is more unusual) of each distinct code by a forest grown on samples by weight.
 
+    Codes at the places ``always`` are in every sample, so that every tree tells them from what is less unusual.
+
     All trees grow level by level at the same time; nodes are numbered as in a heap, and what is left in a leaf adds the
     mean depth of a search among so many.
     """
@@ -410,7 +426,8 @@ def isolation_scores(codes: np.ndarray, weights: np.ndarray, seed: int) -> np.nd
     total = np.cumsum(weights / weights.sum())
     drawn = np.minimum(np.searchsorted(total, rng.random((TREES, size))), len(codes) - 1)
     # the extreme of each feature is in every sample: a rare extreme that no sample holds could not be cut off
-    drawn = np.hstack([drawn, np.tile(x.argmax(0), (TREES, 1))])
+    fixed = x.argmax(0) if always is None else np.concatenate([x.argmax(0), always])
+    drawn = np.hstack([drawn, np.tile(fixed, (TREES, 1))])
     size = drawn.shape[1]
     nodes = 1 << (DEPTH + 1)
     feature = np.full((TREES, nodes), -1)
@@ -454,18 +471,32 @@ def isolation_scores(codes: np.ndarray, weights: np.ndarray, seed: int) -> np.nd
     return 2.0 ** (-path / max(float(norm(np.array([size]))[0]), 1e-9))
 
 
-SCORES = "source int, known binary, scores binary, cutoff double"
+SCORES = "source int, known binary, scores binary, cutoff double, run_cutoff double"
+
+
+def _code(level: float, jump: float, seasonal: float, share: float) -> int:
+    a, b, c, d = _rounded(np.array([level, jump, seasonal, share])).tolist()
+    return ((a * LEVELS + b) * LEVELS + c) * LEVELS + d
 
 
 def _score_source(weights: pd.DataFrame) -> pd.DataFrame:
-    """Scores of the codes of a source; what the forest finds unusual is the upper tenth of the runs, or 0.5 and more."""
+    """Scores of the codes of a source and of its runs by length alone, and what its forest gives to the references.
+
+    The references are in the sample of every tree: a forest tells nothing apart beyond the readings it has grown on, and without
+    them the most unusual reading of an ordinary source would score like a spike.
+    """
     weights = weights.sort_values("code", ignore_index=True)
-    codes, w = weights["code"].to_numpy(np.int32), weights["weight"].to_numpy(float)
-    w = w if w.sum() > 0 else w + 1
-    s = isolation_scores(codes, w, 7)
-    order = np.argsort(s)
-    usual = s[order][min(len(s) - 1, int(np.searchsorted(np.cumsum(w[order]), 0.9 * w.sum())))]
-    return pd.DataFrame({"source": weights["source"][:1], "known": [codes.tobytes()], "scores": [s.tobytes()], "cutoff": [min(usual, 0.5)]})
+    seen = weights["code"].to_numpy(np.int32)
+    ordinary, spike, run = _code(*ORDINARY), _code(*REFERENCE), _code(0, 0, 0, 1)
+    codes = np.unique(np.concatenate([seen, seen % LEVELS, [ordinary, spike, run]])).astype(np.int32)
+    w = np.zeros(len(codes))
+    w[np.searchsorted(codes, seen)] = weights["weight"].to_numpy(float)
+    if not w.sum() > 0:
+        w[np.searchsorted(codes, seen)] = 1.0
+    references = np.searchsorted(codes, [ordinary, spike, run])
+    s = isolation_scores(codes, w, 7, references)
+    low, high, of_run = s[references]
+    return pd.DataFrame({"source": weights["source"][:1], "known": [codes.tobytes()], "scores": [s.tobytes()], "cutoff": [low + BETWEEN * (high - low)], "run_cutoff": [of_run]})
 
 
 REASONS = (None, "not_finite", "limit", "spike", "stuck")
@@ -473,16 +504,17 @@ DECIDED = "source int, seq long, ts long, value double, score double, reason int
 
 
 def _decide(b: pd.Series, all_readings: bool) -> pd.DataFrame:
-    codes, flags, stuck = _full_codes(b)
-    score = np.ones(len(codes))
+    codes, flags, share = _full_codes(b)
+    score, reason = np.ones(len(codes)), np.zeros(len(codes), np.int32)
     usable = (flags & RULED) == 0
     if usable.any() and b["known"] is not None:
-        known = np.frombuffer(b["known"], np.int32)
-        score[usable] = np.frombuffer(b["scores"], float)[np.searchsorted(known, codes[usable])]
-    unusual = usable & (score >= (b["cutoff"] if b["cutoff"] == b["cutoff"] else 1.0))
-    reason = np.zeros(len(codes), np.int32)
-    reason[unusual & stuck & (float(b["noise"]) > 0)] = 4
-    reason[unusual & ((flags & JUMPS) > 0)] = 3
+        known, scores = np.frombuffer(b["known"], np.int32), np.frombuffer(b["scores"], float)
+        score[usable] = scores[np.searchsorted(known, codes[usable])]
+        of_run = np.zeros(len(codes))
+        of_run[usable] = scores[np.searchsorted(known, codes[usable] % LEVELS)]
+        if float(b["noise"]) > 0:
+            reason[usable & (of_run >= b["run_cutoff"]) & (share * FAR_LONGER >= LEAST_LONGER)] = 4
+        reason[usable & (score >= b["cutoff"]) & ((flags & JUMPS) > 0)] = 3
     reason[(flags & LIMIT) > 0] = 2
     reason[(flags & NOT_FINITE) > 0] = 1
     k = np.arange(len(codes)) if all_readings else np.flatnonzero(reason)
@@ -524,12 +556,13 @@ def judged(points: DataFrame, catalog: DataFrame, all_readings: bool = True) ->
     numbered = numbered.withColumn("lane", F.pmod(F.hash("series"), F.lit(lanes))).withColumn("source", (dense * lanes + F.col("lane")).cast("int")).drop("lane")
     sources = storage.staged(numbered, "sources")
     largest, n_sources = sources.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
-    named = sources.select("series", "source", "n")
+    named = sources.select("series", "source", "n", "lo", "hi")
+    lanes = max(1, min(n_sources, 2 * spark.sparkContext.defaultParallelism))  # tasks over sources: their work is long and their rows few
     named = F.broadcast(named) if n_sources * 100 <= BROADCAST_BYTES else named
     blocks = _cut(p, named, largest).groupBy("source", "block").applyInPandas(_pack, BLOCKS)
     blocks = storage.staged(blocks, "blocks", **SMALL_GROUPS)
     about = blocks.select("source", "block", "head", "tail", "changes", "hours").join(sources.select("source", "lo", "hi"), "source")
-    about = storage.staged(about.groupBy("source").applyInPandas(_source, SOURCES), "about")
+    about = storage.staged(about.repartition(lanes, "source").groupBy("source").applyInPandas(_source, SOURCES), "about")
     n_blocks = about.count()
     with _small_batches(spark):
         whole = blocks.select("source", "block", "ts", "seq", "value")
@@ -537,13 +570,13 @@ def judged(points: DataFrame, catalog: DataFrame, all_readings: bool = True) ->
         features = storage.staged(made, "features", **SMALL_GROUPS)
         storage.drop(blocks)
         of_source = features.select("source", "block", "pieces", "long_runs", "lengths", "runs", "joins")
-        runs = storage.staged(of_source.groupBy("source").applyInPandas(_runs, RUNS), "runs")
+        runs = storage.staged(of_source.repartition(lanes, "source").groupBy("source").applyInPandas(_runs, RUNS), "runs")
         noise = about.select("source", "block", "noise").join(runs, ["source", "block"])
         noise = storage.staged(noise, "limits")
         ready = _with(features.drop("long_runs", "lengths", "runs", "joins"), noise, n_blocks, 200, ["source", "block"])
         weights = ready.drop("ts", "seq").mapInPandas(_each(_weights, "source int, code int, weight double", True), "source int, code int, weight double")
         weights = weights.groupBy("source", "code").agg(F.sum("weight").alias("weight"))
-        scores = storage.staged(weights.groupBy("source").applyInPandas(_score_source, SCORES), "scores")
+        scores = storage.staged(weights.repartition(lanes, "source").groupBy("source").applyInPandas(_score_source, SCORES), "scores")
         # most codes of a source that can occur are few thousands; 12 bytes each
         size = scores.agg(F.coalesce(F.sum(F.length("known") * 3), F.lit(0))).first()[0]
         scored = ready.join(F.broadcast(scores) if size <= BROADCAST_BYTES else scores, "source", "left")
