@@ -78,6 +78,37 @@ def test_pack_lengths():
     assert tier.max() <= 10
 
 
+@pytest.mark.parametrize("capacity", [1024, 1000, 37, 1])
+def test_windows_hold_their_tier(capacity):
+    """Each container is a row of windows that nest; what is in a window of a tier is of that tier or a shorter one."""
+    import numpy as np
+
+    rnd = np.random.default_rng(capacity)
+    lengths = np.minimum(capacity, np.concatenate([rnd.integers(0, 400, 2000), rnd.integers(1, 40, 2000), rnd.integers(400, 1025, 300)]))
+    container, tier, window = packing.pack_windows(lengths, capacity)
+    used = np.bincount(container, lengths)
+    assert used.max() <= capacity and len(used) <= -(-lengths.sum() // capacity) + 1
+    assert (window <= tier).all() and (lengths <= capacity >> np.minimum(tier, 30)).all() | (capacity < 128)
+    if capacity == 1024:
+        # the opener of each window is of its tier, and windows of each tier are filled from shorter ones
+        assert all((tier[window == t] == t).any() and (tier[window == t] > t).any() for t in range(3))
+
+
+def test_counter_equals_encoder():
+    names = ["byte_bpe_50k", "byte_bpe_multi_50k"]
+    encoders = [tokenize.PrefixEncoder(tokenize.vocabulary_file(n)) for n in names]
+    got = tokenize.Counter(encoders).count_batch([None, "", *texts(4), "q" * 200])
+    assert got == [[len(e.encode_batch([t])[0]) for e in encoders] for t in [None, "", *texts(4), "q" * 200]]
+
+
+def test_long_words_are_encoded_like_in_the_library():
+    enc, lib = tokenize.PrefixEncoder(tokenize.vocabulary_file("byte_bpe_50k")), reference("byte_bpe_50k")
+    rnd = random.Random(8)
+    for alphabet in ("y", "ab", "etaoinshrdlu", "éü漢"):
+        word = "".join(rnd.choice(alphabet) for _ in range(1500))
+        assert enc.encode_batch([word])[0] == lib.encode_ordinary(word)
+
+
 @pytest.mark.parametrize("shard", [7, 100_000])
 def test_pack_round_trip(spark, shard):
     rnd = random.Random(5)

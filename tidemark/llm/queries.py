@@ -61,6 +61,27 @@ def p9_packed(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_targets"))
 
 
+@query
+def p9_invariants(spark, d):
+    """Per target what a packing must keep: every document in it, none split without need, no container overfull, none to spare."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "pack_targets")
+    p = packing.pack(docs, targets)
+    capacity = F.broadcast(targets.select("target_id", "capacity").distinct())
+    used = p.groupBy("target_id", "container_id").agg(F.sum("piece_tokens").alias("used")).join(capacity, "target_id")
+    used = used.groupBy("target_id", "capacity").agg(
+        F.count(F.when(F.col("used") > F.col("capacity"), 1)).alias("overfull"), (F.count(F.lit(1)) - F.ceil(F.sum("used") / F.col("capacity"))).alias("to_spare")
+    )
+    whole = p.groupBy("target_id", "doc_id").agg(F.sum("piece_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).join(capacity, "target_id")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")))
+    whole = whole.groupBy("target_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("n") != needed, 1)).alias("split"))
+    return used.join(whole, "target_id").select("target_id", "documents", "split", "overfull", "to_spare")
+
+
+SQL["p9_invariants"] = """
+SELECT DISTINCT target_id, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS overfull,
+ CAST(0 AS BIGINT) AS to_spare FROM pack_targets WHERE tokenizer IS NOT NULL AND capacity > 0"""
+
+
 @query
 def p10_found(spark, d):
     return pii.found(table(spark, d, "documents"), table(spark, d, "known_names"), table(spark, d, "items"))

@@ -170,6 +170,49 @@ def encode(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>")
 
 
+class Counter:
+    """Numbers of tokens of texts by several vocabularies, which all cut texts into the same words.
+
+    A text is cut once, and a word's counts are packed into one number, so that a text costs one look-up for each of its words
+    however many vocabularies there are.
+    """
+
+    BITS = 40  #: of a count; a text of 2 ** 40 tokens does not fit into memory
+
+    def __init__(self, encoders: list[PrefixEncoder]):
+        self.encoders, self.words = encoders, {}
+
+    def count_batch(self, texts: list[str | None]) -> list[list[int]]:
+        find = self.encoders[0].find
+        cut = [find(t) if t else [] for t in texts]
+        known = self.words
+        new = set().union(*cut) - known.keys()
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = set().union(*cut)
+        counts = dict.fromkeys(new, 0)
+        for k, e in enumerate(self.encoders):
+            for w, ids in e.walk(list(new)):
+                counts[w] += len(ids) << (k * self.BITS)
+        long = {}
+        for w, n in counts.items():
+            (known if len(w) <= KEPT_BYTES else long)[w] = n
+        totals = [sum(map(known.__getitem__, ws)) if not long else sum(known[w] if w in known else long[w] for w in ws) for ws in cut]
+        mask = (1 << self.BITS) - 1
+        return [[t >> (k * self.BITS) & mask for k in range(len(self.encoders))] for t in totals]
+
+
+_counters: dict[tuple[int, ...], Counter] = {}
+
+
+def counter(rank_files: list[bytes]) -> Counter:
+    """The counter of some vocabularies, made once in each worker."""
+    key = tuple(hash(r) for r in rank_files)
+    if key not in _counters:
+        _counters[key] = Counter([encoder(r) for r in rank_files])
+    return _counters[key]
+
+
 def sizes(documents: DataFrame, tokenizers: list[str], folder: str = FOLDER, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, sizes``: the number of tokens of each text by each of the tokenizers, in their order."""
     spark = documents.sparkSession
@@ -178,12 +221,11 @@ def sizes(documents: DataFrame, tokenizers: list[str], folder: str = FOLDER, tex
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encs = [encoder(r) for r in ranks.value]
+        count = counter(ranks.value).count_batch
         for b in batches:
             at = 0
             for part in _slices(b.column(1).to_pylist()):
-                n = [[len(x) for x in e.encode_batch(part)] for e in encs]
-                col = pa.array([list(x) for x in zip(*n)], pa.list_(pa.int32()))
+                col = pa.array(count(part), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), col], ["doc_id", "sizes"])
                 at += len(part)
 
