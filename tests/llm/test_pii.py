@@ -170,3 +170,35 @@ def test_long_texts_take_time_in_proportion(unit):
     began = time.process_time()
     pii.find_forms(pii.normal_form(unit * (200_000 // len(unit)))[0], MODEL)
     assert time.process_time() - began < 5
+
+
+def test_the_corpus_can_overrule_a_pattern(spark):
+    """What looks like a phone by its pattern stays if the corpus knows what stands there as numbers of things."""
+    rows = [(i, f"Order no. X{i:010d} took 8 days") for i in range(300)]
+    rows += [(500 + i, f"Please ring +49 30 2312{i:04d} after six.") for i in range(40)]
+    rows.append((900, "Order no. (984) 555-0120 took 8 days"))
+    got = {(r["doc_id"], r["pii_kind"]) for r in pii.found(*tables(spark, rows)).collect()}
+    assert got == {(500 + i, "phone") for i in range(40)}
+
+
+def test_overlapping_forms_are_one_case(spark, monkeypatch):
+    docs, known, items = tables(spark, [(1, "abcdefghijklmnop")])
+    found = [(0, "phone", 2, 8, True, [], 1), (0, "id_number", 5, 11, False, [], 1), (0, "email", 11, 13, True, [], 1)]
+
+    def forms(documents, *lists):
+        uid = documents.first()["uid"]
+        return spark.createDataFrame([(uid, *f[1:]) for f in found], pii.FORMS)
+
+    monkeypatch.setattr(pii, "read_forms", forms)
+    monkeypatch.setattr(pii, "THRESHOLD", -1.0)
+    assert sorted((r["pii_kind"], r["start_pos"]) for r in pii.found(docs, known, items).collect()) == [("email", 11), ("phone", 2)]
+    assert pii.sanitised(docs, known, items).first()["text"] == "ab[PHONE][EMAIL]nop"
+
+
+@pytest.mark.parametrize("text", ["x" * 60 + " SSN 997174442 " + "y" * 60, "1" + "a" * 50 + " Tel. +49 30 23125981", "0044 7700 900710" + " " * 40 + "0044 7700 900711", "RSSMRA85T10A562S und 1-620-555-0102"])
+def test_numbers_far_from_each_other(text):
+    """Looking only near digits finds what a search through the whole text finds."""
+    t = pii.normal_form(text)[0]
+    for p in (pii.SURE_ID, pii.SURE_PHONE, pii.MAYBE_ID, pii.MAYBE_PHONE):
+        whole = [m.span() for m in p.finditer(t)]
+        assert [m.span() for a, b in pii._regions(t) for m in p.finditer(t, a, b)] == whole

@@ -1,11 +1,12 @@
 """Personal information in free text, found and replaced by typed placeholders.
 
-Forms that can be nothing else (an address with an at sign, a number with its country code, a known given name before a
-known family name) are taken as they are. They are also what the corpus learns from: for every term that stands next
-to such a form, or next to one that is certainly something else (an order, part or serial number), the co-occurrence
-over all documents estimates how strongly the term reveals a protected entity, as the logarithm of the odds of the
-pointwise counts. Forms that are ambiguous by themselves, such as ten digits, nine digits or a capitalised word after a
-given name, are removed if the terms around them, together, disclose more than the threshold.
+Patterns and word lists propose forms, the corpus decides on each of them. Every form has terms: the words around it, the shape of a
+number, the words of a name, the ending of an address of mail. For every term the co-occurrence over all documents estimates how
+strongly it reveals a protected entity, as the logarithm of the odds of its counts next to forms that can hardly be
+anything else (a number with its country code, a known given name before a known family name) against those next to
+numbers given to things, or elsewhere. A form is removed if what its terms disclose together, and what its pattern
+alone is worth (``SEED``, or nothing for an ambiguous one), exceed the threshold. So ten digits may be a phone by their
+neighbours, and what looks like a phone may stay because the corpus knows such numbers as those of orders.
 
 Text is read in a normal form (character references, wrongly decoded UTF-8, widths, combining marks and invisible characters
 undone) of which every character knows its place in the original, so positions and all that is kept are those of
@@ -15,7 +16,6 @@ the original.
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -24,12 +24,14 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import storage
 
-THRESHOLD = 0.0  #: sum of the log odds of its terms above which an ambiguous form is taken
+THRESHOLD = 0.0  #: sum of the log odds of its terms, and of its pattern, above which a form is taken
+SEED = 3.0  #: log odds of a form that by its pattern can hardly be anything else
+STRONGEST = 2.9  #: log odds of one term at most, either way, so that no single term outweighs a pattern
 AFTER = 0.3  #: weight of the terms behind a number against those before it, which name it more often
 LONGEST_NAME = 40  #: letters of a name word
 BROADCAST_TERMS = 500_000  #: terms up to which their table is sent to all executors
@@ -138,7 +140,6 @@ SURE_PHONE = re.compile(
     re.I,
 )
 SPELLED_PHONE = re.compile(rf"(?<![^\W\d_])(?:(?:{_DIGIT_WORDS})[\s,\-]{{1,3}}){{6,14}}(?:{_DIGIT_WORDS})(?![^\W\d_])", re.I)
-_LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT_SET = frozenset(_DIGIT_WORDS.split("|"))
 MAYBE_PHONE = re.compile(
     rf"{_BEGIN}(?:\d{{3}}[ .\-]{{1,2}}\d{{3}}[ .\-]{{1,2}}\d{{4}}|\d{{3}}(?:[ .\-]{{1,2}}\d{{2}}){{3}}|\d{{3}}[ ]{{1,2}}\d{{3}}[ ]{{1,2}}\d{{3}}|\d{{3}}[ ]\d{{4}}[ ]\d{{4}}|0\d{{3,4}}[ \-]{{1,2}}\d{{3}}[ \-]{{1,2}}\d{{3}}|0\d{{3,4}}[ ]{{1,2}}\d{{6,8}}|0\d{{9,10}}|\d{{9,10}}){_END}"
@@ -152,9 +153,10 @@ SURE_ID = re.compile(
 MAYBE_ID = re.compile(
     rf"{_BEGIN}(?:\d{{3}}[ \-.]{{0,2}}\d{{2}}[ \-.]{{0,2}}\d{{4}}|\d{{8}}[ \-]{{0,2}}[A-Za-z]|\d{{2}}[ ]{{0,2}}\d{{3}}[ ]{{0,2}}\d{{3}}[ ]{{0,2}}\d{{3}}|[A-Za-z]{{1,2}}[ ]?\d{{6,9}}|\d{{8}}|\d{{4}}[ \-]\d{{4}}[ \-]\d{{4}}|\d{{12}})(?![0-9A-Za-z]|[\-./]\d)"
 )
-#: numbers that are certainly given to things: a letter and ten digits, thirteen digits, groups with letters of the hexadecimal system
+#: numbers given to things: a letter and many digits, thirteen digits as on goods, digits behind a number sign, groups of digits that no form of
+#: a person's number has, the letters and pairs of an insurance number without its end, hexadecimal groups, versions
 THING = re.compile(
-    r"(?<![A-Za-z0-9])(?:B\d{8,12}|SN\d{6,12}|\d{13}|#\d{6,12}|\d{8}-K|QX \d{2} \d{2} \d{2}(?! ?[A-D]\b)|\d{4}-\d{2}-\d{4}|\d{2}-\d{4}-\d{6}|(?=[0-9A-F\-]*[A-F])[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}|v?\d{1,3}\.\d{1,3}\.\d{1,5})(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?:[A-Z]\d{10,12}|[A-Z]{2}\d{10,12}|\d{13}|#\d{6,12}|[A-Z]{2} \d{2} \d{2} \d{2}(?! ?[A-D]\b)|\d{4}-\d{2}-\d{4}|\d{2}-\d{4}-\d{5,7}|(?=[0-9A-F\-]*[A-F])[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}|v?\d{1,3}\.\d{1,3}\.\d{1,5})(?![A-Za-z0-9])",
     re.I,
 )
 ID_LABEL = re.compile(
@@ -195,6 +197,8 @@ ADDRESSES = (
 TITLES = frozenset("mr mrs ms miss mx sir dr prof herr herrn frau fr m mme mlle madame monsieur sr sra srta don doña señor señora sig signor signora dott dott.ssa pan pani pana panem".split())
 PARTICLES = frozenset("de del della di da dos van von der den la le du zu ten ter af av el y d' vom zum".split())
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_DIGITS = re.compile(r"\d+")
+BESIDE = 24  #: characters beside digits that a pattern of a number can take in or look at; without a digit in so many, none goes on
 _RESPECT = ("さん", "様", "氏", "先生")
 
 
@@ -314,6 +318,17 @@ def _around(t: str, start: int, end: int) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _shape(s: str) -> str:
+    """A number with all digits alike and all letters alike, but for a leading zero and the digit behind it, which name a numbering plan."""
+    head = 2 if s[:1] == "0" else 0
+    return "#" + s[:head] + re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", s[head:]))
+
+
+def _number(kind: str, t: str, start: int, end: int, sure: bool) -> Form:
+    """A number with the terms that tell what it is: those around it and its shape."""
+    return Form(kind, start, end, sure, (*_around(t, start, end), _shape(t[start:end])))
+
+
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
@@ -322,8 +337,30 @@ def _overlaps(taken: bytearray, a: int, b: int) -> bool:
     return taken.find(1, a, b) >= 0
 
 
-def find_forms(t: str, names: NameModel) -> list[Form]:
-    """Forms in a text in normal form; they do not overlap, except that an ambiguous number can have two readings."""
+def words_of(t: str) -> list[tuple[str, int, int]]:
+    return [(m.group(0), m.start(), m.end()) for m in _WORD.finditer(t)]
+
+
+def _regions(t: str) -> list[tuple[int, int]]:
+    """The parts of a text that numbers can lie in: digits with what patterns of numbers take in around them."""
+    out: list[list[int]] = []
+    for m in _DIGITS.finditer(t):
+        a, b = max(0, m.start() - BESIDE), min(len(t), m.end() + BESIDE)
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def find_forms(t: str, names: NameModel, words: list[tuple[str, int, int]] | None = None) -> list[Form]:
+    """Forms in a text in normal form; they do not overlap, except that an ambiguous number can have two readings.
+
+    ``words`` are those of the text, if they are known.
+    """
+    words = words_of(t) if words is None else words
+    regions = _regions(t)
+    numbers = lambda pattern: (m for a, b in regions for m in pattern.finditer(t, a, b))
     out: list[Form] = []
     taken = bytearray(len(t))  # 1 where a character belongs to a form
 
@@ -338,39 +375,40 @@ def find_forms(t: str, names: NameModel) -> list[Form]:
         if spelled and m.group(4).lower() not in _DOMAINS:
             m = EMAIL.search(t, m.end(2))  # an "at" of the sentence; the address may begin behind it
             continue
-        take(Form("email", m.start(1), m.end(3), True))
+        take(Form("email", m.start(1), m.end(3), True, (*_around(t, m.start(1), m.end(3)), "@" + m.group(4).lower())))
         m = EMAIL.search(t, m.end())
     for m in _HANDLE.finditer(t):
         taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     for pattern, hints in ADDRESSES:
-        if hints is None or any(h in small for h in hints):
+        if regions and (hints is None or any(h in small for h in hints)):
             for m in pattern.finditer(t):
                 if not _overlaps(taken, m.start(), m.end()):
-                    take(Form("address", m.start(), m.end(), True))
-    for m in SURE_ID.finditer(t):
+                    take(Form("address", m.start(), m.end(), True, _around(t, m.start(), m.end())))
+    for m in numbers(SURE_ID):
         if not _overlaps(taken, m.start(), m.end()):
-            take(Form("id_number", m.start(), m.end(), True, _around(t, m.start(), m.end())))
-    for m in SURE_PHONE.finditer(t):
+            take(_number("id_number", t, m.start(), m.end(), True))
+    for m in numbers(SURE_PHONE):
         n, first = _digits(m.group(0)), m.group(0)
         if _overlaps(taken, m.start(), m.end()) or ID_LABEL.search(t[max(0, m.start() - 70) : m.start()]):
             continue
         if not (12 <= n <= 15 if first.startswith("00") else 9 <= n <= 15):
             continue
-        take(Form("phone", m.start(), m.end(), True, _around(t, m.start(), m.end())))
-    if sum(w in _DIGIT_SET for w in _LETTERS.findall(small)) >= 7:
+        take(_number("phone", t, m.start(), m.end(), True))
+    parts = "-".join([w for w, _, _ in words]).lower().replace("i\u0307", "i").replace("ı", "i").replace("'", "-").replace("’", "-").split("-")
+    if sum(map(_DIGIT_SET.__contains__, parts)) >= 7:
         for m in SPELLED_PHONE.finditer(t):
             if not _overlaps(taken, m.start(), m.end()):
                 take(Form("phone", m.start(), m.end(), True, _around(t, m.start(), m.end())))
-    for m in MAYBE_ID.finditer(t):
+    for m in numbers(MAYBE_ID):
         if _overlaps(taken, m.start(), m.end()):
             continue
         labelled = bool(ID_LABEL.search(t[max(0, m.start() - 70) : m.start()])) or bool(re.match(r"(?i)[^\n]{0,16}\bmy (?:ssn|social|tax id|passport|ni)\b", t[m.end() : m.end() + 40]))
-        f = Form("id_number", m.start(), m.end(), labelled, _around(t, m.start(), m.end()))
+        f = _number("id_number", t, m.start(), m.end(), labelled)
         take(f) if labelled else out.append(f)
-    for m in MAYBE_PHONE.finditer(t):
+    for m in numbers(MAYBE_PHONE):
         if not _overlaps(taken, m.start(), m.end()):
-            out.append(Form("phone", m.start(), m.end(), False, _around(t, m.start(), m.end())))
-    out += [f for f in _find_names(t, names) if not _overlaps(taken, f.start, f.end)]
+            out.append(_number("phone", t, m.start(), m.end(), False))
+    out += [f for f in _find_names(t, names, words) if not _overlaps(taken, f.start, f.end)]
     return out
 
 
@@ -384,9 +422,8 @@ def _is_french(words: list[tuple[str, int, int]]) -> bool:
     return n >= 2 and n * 15 >= len(words)
 
 
-def _find_names(t: str, names: NameModel) -> list[Form]:
+def _find_names(t: str, names: NameModel, words: list[tuple[str, int, int]]) -> list[Form]:
     """Family names with a given name, an initial or a form of address."""
-    words = [(m.group(0), m.start(), m.end()) for m in _WORD.finditer(t)]
     out: list[Form] = []
     done, french = -1, None
 
@@ -450,7 +487,7 @@ def _find_names(t: str, names: NameModel) -> list[Form]:
         if first and names.is_brand(first, w) and not titled:
             continue
         if f:
-            out.append(Form("person_name", begin, b, True))
+            out.append(Form("person_name", begin, b, True, tuple("=" + _flat(x) for x in _WORD.findall(t[begin:b]) if len(x) > 2)))
             done = b
         elif first and g == 2 and w[0].isupper() and len(w) >= 4 and names.near(w, "family"):
             out.append(Form("person_name", begin, b, False, ("=" + _flat(w),)))
@@ -485,20 +522,27 @@ def read_forms(documents: DataFrame, known: list, brands: list) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             counts: dict[str, Counter] = {"thing": Counter(), "name": Counter(), "seen": Counter()}
+            seen: Counter = Counter()
             for uid, text in zip(batch["uid"], batch["text"]):
                 if not text:
                     continue
                 t, place = normal_form(text)
-                for f in find_forms(t, names):
+                words = words_of(t)
+                forms = find_forms(t, names, words)
+                covered = bytearray(len(t))
+                for f in forms:
+                    covered[f.start : f.end] = b"\1" * (f.end - f.start)
                     stop = place[f.end] if f.end < len(place) else len(text)
                     rows.append((uid, f.kind, place[f.start], stop, f.sure, list(f.terms), 1))
                     if f.kind == "person_name":
                         counts["name"].update("=" + _flat(x) for x in _WORD.findall(t[f.start : f.end]) if len(x) > 2)
                 for m in THING.finditer(t):
-                    counts["thing"].update(_around(t, m.start(), m.end()))
-                for m in _WORD.finditer(t):
-                    if m.group(0)[0].isupper():
-                        counts["seen"]["=" + _flat(m.group(0))] += 1
+                    if _overlaps(covered, m.start(), m.end()):
+                        continue  # what may be personal teaches nothing about things
+                    counts["thing"].update((*_around(t, m.start(), m.end()), _shape(m.group(0))))
+                seen.update(w for w, _, _ in words if w[0].isupper())
+            for w, n in seen.items():
+                counts["seen"]["=" + _flat(w)] += n
             for kind, c in counts.items():
                 rows += [(None, kind, None, None, True, [term], n) for term, n in c.items()]
             if rows:
@@ -508,26 +552,35 @@ def read_forms(documents: DataFrame, known: list, brands: list) -> DataFrame:
     return documents.select("uid", "text").mapInPandas(run, FORMS)
 
 
+KINDS = ("phone", "id_number", "email", "address", "thing", "name", "seen")
+
+
 def evidence(forms: DataFrame) -> DataFrame:
-    """``term, phone, id_number, thing, name, seen``: how often each term stands by each certain form, over all documents."""
-    kinds = ("phone", "id_number", "thing", "name", "seen")
-    rows = forms.where(F.col("sure") & F.col("kind").isin(*kinds)).select("kind", F.explode("terms").alias("term"), "n")
-    return rows.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+    """``term`` and, for each of ``KINDS``, how often it stands by such a form, over all documents."""
+    rows = forms.where(F.col("sure") & F.col("kind").isin(*KINDS)).select("kind", F.explode("terms").alias("term"), "n")
+    return rows.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in KINDS])
 
 
 def strengths(counts: DataFrame) -> DataFrame:
-    """``term, kind, strength``: log odds that what stands by the term is of the kind. Terms never seen disclose nothing (0)."""
-    odds = lambda yes, no: F.log((F.col(yes) + 0.5) / (no + 0.5))
-    each = F.array(
-        F.struct(F.lit("phone").alias("kind"), odds("phone", F.col("thing") + F.col("id_number")).alias("strength")),
-        F.struct(F.lit("id_number").alias("kind"), odds("id_number", F.col("thing") + F.col("phone")).alias("strength")),
-        F.struct(F.lit("person_name").alias("kind"), odds("name", F.greatest(F.lit(0), F.col("seen") - F.col("name"))).alias("strength")),
-    )
-    return counts.select("term", F.inline(each))
+    """``term, kind, strength``: log odds that what stands by the term is of the kind. Terms never seen disclose nothing (0).
 
+    A number is told from numbers of the other kind and of things; an address, which its form tells from the other kinds, from
+    things only; a name from the same word where it is part of none.
+    """
+    odds = lambda yes, no: F.log((yes + 0.5) / (no + 0.5))
+    c = F.col
+    personal = c("phone") + c("id_number") + c("email") + c("address")
+    each = {
+        "phone": odds(c("phone"), c("thing") + c("id_number")), "id_number": odds(c("id_number"), c("thing") + c("phone")),
+        "email": odds(personal, c("thing")), "address": odds(personal, c("thing")),
+        "person_name": odds(c("name"), F.greatest(F.lit(0), c("seen") - c("name"))),
+    }
+    bound = lambda x: F.least(F.lit(STRONGEST), F.greatest(F.lit(-STRONGEST), x))
+    return counts.select("term", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), bound(x).alias("strength")) for k, x in each.items()])))
 
-def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> DataFrame:
-    """``uid, kind, start, stop`` of every case, with positions in code points of the original text.
+
+def scored(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> DataFrame:
+    """``uid, kind, start, stop, sure, corpus, strength`` of every form; ``corpus`` is what its terms disclose, ``strength`` with its pattern.
 
     ``documents`` must have ``uid`` and ``text``. ``known_names`` (``word``, ``word_kind``) and the brands of ``items`` are word
     lists that do not grow with the corpus; they are collected.
@@ -537,16 +590,30 @@ def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> Dat
     forms = storage.staged(read_forms(documents, known, brands), "forms")
     table = storage.staged(strengths(evidence(forms)), "strengths")
     found = forms.where(F.col("uid").isNotNull())
-    where = ["uid", "kind", "start", "stop"]
-    if table.count() <= 3 * BROADCAST_TERMS:
+    if table.count() <= 5 * BROADCAST_TERMS:
         table = F.broadcast(table)
-    ambiguous = found.where("not sure").select(*where, F.explode("terms").alias("term")).join(table, ["term", "kind"], "left")
-    weighted = F.col("strength") * F.when(F.col("term").startswith(">"), AFTER).otherwise(1.0)
-    disclosed = ambiguous.groupBy(*where).agg(F.coalesce(F.sum(weighted), F.lit(0.0)).alias("strength"))
-    certain = found.where("sure").select(*where, F.lit(math.inf).alias("strength"))
-    both = certain.unionByName(disclosed.where(F.col("strength") > THRESHOLD))
-    # of two readings of one number the one that the terms speak for more
-    return both.groupBy("uid", "start").agg(F.max(F.struct("strength", "kind", "stop")).alias("b")).select("uid", "b.kind", "start", "b.stop")
+    where = ["uid", "kind", "start", "stop", "sure"]
+    terms = found.select(*where, F.explode_outer("terms").alias("term")).join(table, ["term", "kind"], "left")
+    weighted = F.coalesce(F.col("strength"), F.lit(0.0)) * F.when(F.col("term").startswith(">"), AFTER).otherwise(1.0)
+    out = terms.groupBy(*where).agg(F.when(F.col("kind") == "person_name", F.max(weighted)).otherwise(F.sum(weighted)).alias("corpus"))
+    # each word of a name would do by itself: a given name that is mostly alone says nothing against the family name behind it
+    return out.withColumn("strength", F.col("corpus") + F.when(F.col("sure"), SEED).otherwise(0.0))
+
+
+def spans(documents: DataFrame, known_names: DataFrame, items: DataFrame) -> DataFrame:
+    """``uid, kind, start, stop, first, last`` of every case, with positions in code points of the original text.
+
+    Of forms that overlap, the one that discloses most is the case, at ``start``; ``first`` to ``last`` is all that they
+    cover together, so that nothing of a lesser one is left when the case is replaced.
+    """
+    taken = scored(documents, known_names, items).where(F.col("strength") > THRESHOLD)
+    over = Window.partitionBy("uid").orderBy("start", "stop", "kind")  # the forms of one text
+    reach = F.max("stop").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.coalesce(F.col("start") < reach, F.lit(False)), 0).otherwise(1)
+    groups = taken.withColumn("apart", apart).withColumn("case", F.sum("apart").over(over))
+    best = F.max(F.struct("sure", "strength", "kind", "start", "stop"))
+    groups = groups.groupBy("uid", "case").agg(best.alias("b"), F.min("start").alias("first"), F.max("stop").alias("last"))
+    return groups.select("uid", "b.kind", "b.start", "b.stop", "first", "last")
 
 
 def with_uid(documents: DataFrame, *columns: str) -> DataFrame:
@@ -571,18 +638,16 @@ def sanitised(documents: DataFrame, known_names: DataFrame, items: DataFrame) ->
     Null texts stay null, empty ones empty. One row per row of the input.
     """
     d = with_uid(documents, "doc_id", "text")
-    s = spans(d, known_names, items).groupBy("uid").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("cases"))
+    s = spans(d, known_names, items).groupBy("uid").agg(F.collect_list(F.struct("first", "last", "kind")).alias("cases"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
             for text, cases in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 out, at, n = [], 0, 0
-                for c in sorted(cases or [], key=lambda c: (c["start"], c["stop"])):
-                    if c["start"] < at:
-                        continue
-                    out += [text[at : c["start"]], PLACEHOLDERS[c["kind"]]]
-                    at, n = c["stop"], n + 1
+                for c in sorted(cases or [], key=lambda c: c["first"]):
+                    out += [text[at : c["first"]], PLACEHOLDERS[c["kind"]]]
+                    at, n = c["last"], n + 1
                 texts.append(None if text is None else "".join([*out, text[at:]]))
                 counts.append(n)
             columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())]
