@@ -8,8 +8,8 @@ from tidemark.functions import bits
 from tidemark.model import NEW_POINTS, EngineConfig, InvalidTimeRange, SegmentConfig, SeriesNotFound
 from tidemark.operators import query as q
 
-A, B = {"host": "serverA", "region": "us-east"}, {"host": "serverB", "region": "us-west"}
-BASIC = [("s", 100, 10.5, A), ("s", 200, 11.0, A), ("s", 300, 12.5, B), ("s", 150, 9.0, A)]
+NORTH, SOUTH = {"site": "north", "unit": "u7"}, {"site": "south", "unit": "u9"}
+BASIC = [("pump", 1010, 3.25, NORTH), ("pump", 1040, 2.5, NORTH), ("pump", 1075, 7.0, SOUTH), ("pump", 1025, -4.5, NORTH), ("pump", 1040, 2.75, SOUTH)]
 
 
 def engine(spark, tmp_path, rows=(), **config):
@@ -28,51 +28,47 @@ def got(df):
 
 def test_range_and_tags(spark, tmp_path):
     e = engine(spark, tmp_path, BASIC)
-    assert got(e.query("s", 0, 400)) == [(100, 10.5), (150, 9.0), (200, 11.0), (300, 12.5)]
-    assert got(e.query("s", 120, 250)) == [(150, 9.0), (200, 11.0)]
-    assert got(e.query("s", 0, 400, {"host": "serverA"})) == [(100, 10.5), (150, 9.0), (200, 11.0)]
-    assert got(e.query("s", 0, 400, {"host": "serverA", "region": "us-east"})) == [(100, 10.5), (150, 9.0), (200, 11.0)]
-    assert got(e.query("s", 0, 400, {"region": "us-west"})) == [(300, 12.5)]
-    assert got(e.query("s", 0, 400, {"host": "serverC"})) == []
-    assert got(e.query("s", 0, 400, {"host": "serverA", "region": "us-west"})) == []
-    assert len(got(e.query("s", tags={}))) == 4
-    assert got(e.query("s", 100, 101)) == [(100, 10.5)] and got(e.query("s", 0, 100)) == []
-    assert got(e.query("s", 5000, 6000)) == []
+    for start, end, tags in (
+        (0, 2000, None), (1015, 1041, None), (0, 2000, {"site": "north"}), (0, 2000, {"site": "north", "unit": "u7"}), (0, 2000, {"unit": "u9"}),
+        (1040, 1075, {"unit": "u9"}), (0, 2000, {"site": "west"}), (0, 2000, {"site": "north", "unit": "u9"}), (0, None, {}), (1010, 1011, None),
+        (0, 1010, None), (90_000, 95_000, None),
+    ):
+        want = sorted((t, v) for _, t, v, have in BASIC if start <= t < (end or 10**9) and (tags or {}).items() <= have.items())
+        assert got(e.query("pump", start, end, tags)) == want, (start, end, tags)
 
 
 def test_errors(spark, tmp_path):
     e = engine(spark, tmp_path, BASIC)
     with pytest.raises(SeriesNotFound):
-        e.query("other")
-    for start, end in ((100, 50), (100, 100), (-1, 5)):
+        e.query("valve")
+    for start, end in ((77, 30), (77, 77), (-3, 12)):
         with pytest.raises(InvalidTimeRange):
-            e.query("other", start, end)
+            e.query("valve", start, end)
 
 
 def test_ragged_tags(spark, tmp_path):
     rows = [
-        ("s", 1, 1.0, {"region": "us-east", "dc": "dc1", "service": "api"}),
-        ("s", 2, 2.0, {"region": "us-east", "dc": "dc1", "service": "db"}),
-        ("s", 3, 3.0, {"os": "linux", "kernel": "5.4"}),
-        ("s", 4, 4.0, {"empty": "", "unicode": "你好世界"}),
-        ("s", 5, 5.0, {f"t{i}": f"v{i}" for i in range(1, 11)}),
+        ("s", 1, 1.0, {"zone": "hall", "line": "l4", "role": "mix"}),
+        ("s", 2, 2.0, {"zone": "hall", "line": "l4", "role": "fill"}),
+        ("s", 3, 3.0, {"maker": "Ø-werk", "rev": "9.1"}),
+        ("s", 4, 4.0, {"blank": "", "name": "насос 漢"}),
+        ("s", 5, 5.0, {f"k{i}": str(i * i) for i in range(12)}),
         ("s", 6, 6.0, {}),
     ]
     e = engine(spark, tmp_path, rows)
-    n = lambda **t: len(got(e.query("s", tags=t)))
-    assert (n(region="us-east", dc="dc1"), n(service="api"), n(os="linux", kernel="5.4"), n(empty=""), n(unicode="你好世界")) == (2, 1, 1, 1, 1)
-    assert (n(t1="v1", t5="v5", t10="v10"), n(nothing="x"), n()) == (1, 0, 6)
+    for tags in ({"zone": "hall", "line": "l4"}, {"role": "mix"}, {"maker": "Ø-werk", "rev": "9.1"}, {"blank": ""}, {"name": "насос 漢"}, {"k1": "1", "k5": "25", "k11": "121"}, {"none": "x"}, {}):
+        assert got(e.query("s", tags=tags)) == sorted((t, v) for _, t, v, have in rows if tags.items() <= have.items())
 
 
 def test_index_changes_nothing_but_skips(spark, tmp_path):
-    rows = [("m", 10000, 1.0, {"host": "a"}), ("m", 10001, 2.0, {"host": "b"}), ("m", 10002, 3.0, {"host": "b"}), ("n", 1, 0.0, {"host": "c"})]
+    rows = [("m", 40, 1.5, {"site": "x"}), ("m", 55, 2.5, {"site": "y"}), ("m", 56, 3.5, {"site": "y"}), ("n", 7, 0.0, {"site": "z"})]
     for use in (True, False):
         e = engine(spark, tmp_path / str(use), segment_store=SegmentConfig(enable_tag_index=use))
         for r in rows:
             e.insert(*r)
             e.flush()
-        assert got(e.query("m", tags={"host": "b"})) == [(10001, 2.0), (10002, 3.0)]
-        assert got(e.query("m", tags={"host": "c"})) == []
+        assert got(e.query("m", tags={"site": "y"})) == [(55, 2.5), (56, 3.5)]
+        assert got(e.query("m", tags={"site": "z"})) == []
         assert bool(e.get_metrics()["counters"].get("tag_postings_segment_skips")) is use
 
 
@@ -82,7 +78,7 @@ def test_pairs_on_different_points(spark, tmp_path):
 
 
 def test_odd_floats_and_duplicates(spark, tmp_path):
-    rows = [("s", 100, math.nan, A), ("s", 80, math.inf, A), ("s", 90, -0.0, B), ("s", 90, 1.25, A), ("s", 10**10, -math.inf, B), ("s", 91, 1.25, A), ("s", 91, 1.25, A)]
+    rows = [("s", 7, math.inf, NORTH), ("s", 12, -0.0, SOUTH), ("s", 12, 6.5, NORTH), ("s", 13, 6.5, NORTH), ("s", 13, 6.5, NORTH), ("s", 21, math.nan, NORTH), ("s", 3 * 10**11, -math.inf, SOUTH)]
     e = engine(spark, tmp_path, rows)
     out = [r["value"] for r in e.query("s").collect()]
     assert len(out) == 7 and sum(math.isnan(v) for v in out) == 1 and sum(math.isinf(v) for v in out) == 2
@@ -101,19 +97,19 @@ def test_bits_round_trip(spark):
 
 def test_pushdown(spark, tmp_path):
     e = engine(spark, tmp_path, BASIC)
-    plan = e.query("s", 120, 250, {"host": "serverA"})._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(series,s)" in plan and "GreaterThanOrEqual(ts,120)" in plan and "LessThan(ts,250)" in plan
+    plan = e.query("pump", 1020, 1060, {"site": "north"})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(series,pump)" in plan and "GreaterThanOrEqual(ts,1020)" in plan and "LessThan(ts,1060)" in plan
     assert "seq" not in plan.split("ReadSchema")[1]
 
 
 def test_reports(spark, tmp_path):
     e = engine(spark, tmp_path, BASIC + [("t", 5, 1.0, {})])
-    assert sorted(r[0] for r in e.list_series().collect()) == ["s", "t"]
-    assert [r[0] for r in e.list_series({"host": "serverB"}).collect()] == ["s"]
-    d = {(r["series"], r["slot_start"]): (r["n_points"], r["first_value"], r["last_value"]) for r in e.downsample(100).collect()}
-    assert d["s", 100] == (2, 10.5, 9.0) and d["t", 0] == (1, 1.0, 1.0)
+    assert sorted(r[0] for r in e.list_series().collect()) == ["pump", "t"]
+    assert [r[0] for r in e.list_series({"site": "south"}).collect()] == ["pump"]
+    d = {(r["series"], r["slot_start"]): (r["n_points"], r["first_value"], r["last_value"]) for r in e.downsample(50).collect()}
+    assert d["pump", 1000] == (4, 3.25, 2.75) and d["pump", 1050] == (1, 7.0, 7.0) and d["t", 0] == (1, 1.0, 1.0)
     e.sql_view("pts")
-    assert spark.sql("select count(*) from pts").first()[0] == 5
+    assert spark.sql("select count(*) from pts").first()[0] == 6
 
 
 def test_range_check_alone():

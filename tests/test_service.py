@@ -42,3 +42,29 @@ def test_writable(tmp_path):
     (tmp_path / "file").write_text("")
     with pytest.raises(ConfigError):
         check_writable(str(tmp_path / "file"))
+
+
+def test_validate_settings(tmp_path, capsys):
+    from tidemark.daemon import main
+
+    f = tmp_path / "c.toml"
+    f.write_text("flush_interval_s = 2\n[segment_store]\nenable_tag_index = true\n")
+    main(["--config", str(f), "--set", "segment_store.enable_tag_index=false", "--validate-config"])
+    assert "hold" in capsys.readouterr().out
+    for bad in (["--set", "flush=1"], ["--set", "flush_interval_s"], ["--set", "segment_store.encoding.compression=rar"], ["--config", str(tmp_path / "none")], ["--http-bind", "x:y"]):
+        with pytest.raises(SystemExit) as x:
+            main([*bad, "--validate-config"])
+        assert x.value.code == 2
+
+
+def test_a_stop_does_not_wait_for_ever(spark, tmp_path):
+    import threading
+
+    e, held = Engine(spark, f"file://{tmp_path}/db", EngineConfig(flush_interval_s=0.05)), threading.Event()
+    e.flush = lambda: held.wait(60)
+    e.start()
+    time.sleep(0.3)
+    began = time.monotonic()
+    e.close(0.5)
+    assert time.monotonic() - began < 10
+    held.set()

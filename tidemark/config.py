@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tomllib
 from dataclasses import fields, is_dataclass
-from typing import Any, get_args, get_type_hints
+from typing import Any, get_args, get_origin, get_type_hints
 
 from tidemark.model import ConfigError, EngineConfig
 
@@ -13,6 +13,10 @@ ENV_PREFIX = "TIDEMARK"
 
 
 def _typed(kind: Any, value: Any, name: str) -> Any:
+    if get_origin(kind) is tuple:  # a list in a file, a text with commas elsewhere
+        if not isinstance(value, (list, tuple, str)):
+            raise ConfigError(f"bad value for {name}: {value!r}")
+        return tuple(v for v in (value.split(",") if isinstance(value, str) else map(str, value)) if v)
     kinds = [k for k in (get_args(kind) or (kind,)) if k is not type(None)]
     kind = kinds[0]
     try:

@@ -475,17 +475,6 @@ def replay_tail(spark, d):
 SQL["replay_tail"] = f"WITH {P} SELECT series, ts, seq, value FROM p"
 
 
-@query
-def sorted_points(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("series").orderBy("ts", "seq")
-    return _events(spark, d).select("series", "ts", "seq", F.row_number().over(w).cast("long").alias("at"))
-
-
-SQL["sorted_points"] = f"WITH {P} SELECT series, ts, seq, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS at FROM p"
-
-
 @query
 def snapshot_roundtrip(spark, d):
     e = _engine(spark)
