@@ -97,6 +97,7 @@ def test_bits_round_trip(spark):
 
 def test_pushdown(spark, tmp_path):
     e = engine(spark, tmp_path, BASIC)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = e.query("pump", 1020, 1060, {"site": "north"})._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(series,pump)" in plan and "GreaterThanOrEqual(ts,1020)" in plan and "LessThan(ts,1060)" in plan
     assert "seq" not in plan.split("ReadSchema")[1]
