@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.functions.clean import clean_points, day_of, distinct_points, is_finite
 
 
@@ -36,7 +37,8 @@ def rolling_totals(points: DataFrame, windows: tuple[int, ...] = (7, 30)) -> Dat
     """
     longest = max(windows)
     of_series = Window.partitionBy("series").orderBy("day")
-    daily = daily_totals(points).select(
+    # staged, since the few rows of the days feed both the totals and the calendar; the points are read once
+    daily = storage.staged(daily_totals(points), "daily").select(
         "*",
         F.lead("day").over(of_series).alias("next_day"),
         F.max("day").over(of_series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_day"),

@@ -110,7 +110,7 @@ def p4_found(spark, d):
 
 @query
 def p5_found(spark, d):
-    made = grid.regular_grid(table(spark, d, "points"), table(spark, d, "series_catalog"))
+    made = grid.regular_grid(table(spark, d, "points"), table(spark, d, "series_catalog"), max_gap_days=30)
     return grid.missing_slots(made, 30)
 
 

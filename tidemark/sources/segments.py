@@ -23,6 +23,7 @@ from tidemark import storage
 from tidemark.model import POINTS, Corruption, SegmentConfig
 from tidemark.plans.catalog import Segment
 
+EXPANSION = 8  #: at most about what a compressed file grows by in memory
 ROW_BYTES = 64  #: about what a point takes in memory, to choose the number of files
 
 
@@ -47,13 +48,17 @@ def write(
 ) -> Segment | None:
     """Write the points that are not before ``delete_before``; None, and no folder, if there are none.
 
-    ``rows`` is their number, or a bound of it, from which the number of files is chosen; without it they are counted.
+    ``rows`` is their number, or a bound of it, from which the number of files is chosen; without it they are counted, unless the
+    optimizer knows that they fit into one file.
     """
     spark = points.sparkSession
     kept = points.select(*POINTS.names)
     if delete_before is not None:
         kept = kept.where(F.col("ts") >= F.lit(delete_before))
-    files = max(1, -(-(kept.count() if rows is None else rows) * ROW_BYTES // config.target_file_bytes))
+    if rows is None:
+        most = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        rows = 0 if most * EXPANSION <= config.target_file_bytes else kept.count()
+    files = max(1, -(-rows * ROW_BYTES // config.target_file_bytes))
     temporary, path = f"{root}/.open-{segment_id}", f"{root}/seg-{segment_id:010d}-l{level}"
     storage.delete(spark, temporary)
     options = config.encoding.options()
