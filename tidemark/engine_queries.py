@@ -553,3 +553,26 @@ def health_endpoints(spark, d):
 
 SQL["health_endpoints"] = f"""WITH {P} SELECT * FROM (VALUES ('before', 503), ('/healthz', 200), ('/readyz', 200), ('/metrics', 200), ('/nothing', 404)) AS t(asked, answer)
 UNION ALL SELECT 'points', count(*) FROM p WHERE ts < {A}"""
+
+
+@query
+def tenant_isolation(spark, d):
+    """The same series and times in two namespaces; what one deletes stays in the other."""
+    from tidemark.tenants import Tenants
+
+    root, points = storage.new_path(spark, "tenants"), _unnumbered(spark, d)
+    t = Tenants(spark, root)
+    for name, part in (("acme/Prod", points.where(F.col("ts") < MID)), ("beta é", points.where(F.col("ts") < A))):
+        t.engine(name).ingest(part)
+        t.engine(name).flush()
+    t.engine("acme/Prod").delete("view")
+    t.close()
+    t, out = Tenants(spark, root), None
+    for name in t.names():
+        part = t.engine(name).points().select(F.lit(name).alias("tenant"), *POINT)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SQL["tenant_isolation"] = f"""WITH {P} SELECT 'acme/Prod' AS tenant, series, ts, value FROM p WHERE ts < {MID} AND series <> 'view'
+UNION ALL SELECT 'beta é', series, ts, value FROM p WHERE ts < {A}"""
