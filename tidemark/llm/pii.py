@@ -169,7 +169,7 @@ _EN_MORE = r"(?:Way|Court|Ct|Square|Sq|Hill|Place|Pl|Quay|Row|Green|Park|Gate)\b
 _NO = r"\d{1,5}(?:[ ]?[a-zA-Z](?![^\W_]))?"
 _FR_TYPES = r"(?:rue|r\.|avenue|av\.?|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|quai|impasse|imp\.|all[ée]e|cours|route|passage|square|sentier|ruelle)"
 _ES_TYPES = r"(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|carrera|ronda|traves[íi]a|callej[óo]n|via|viale|corso|piazza|vicolo|largo|strada|ulica|ul\.|aleja|al\.|plac|pl\.|os\.)"
-#: each with what a text in small letters must hold for the pattern to be tried
+#: each with what a text in small letters must hold for the pattern to be tried, or None if it begins with a number
 ADDRESSES = (
     (
         re.compile(
@@ -186,11 +186,11 @@ ADDRESSES = (
             rf"|(?<![\w\-])(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:-[^\W\d_]+)*-?(?-i:[Pp]latz|[Uu]fer|[Dd]amm|[Ss]teig|[Cc]haussee)[ ]+{_NO}(?![\w/]|[.,]\d)",
             re.I,
         ),
-        ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ufer", "damm", "steig", "chaussee"),
+        re.compile("stra(?:ß|ss)e|str\\.|gasse|weg|allee|platz|ufer|damm|steig|chaussee"),
     ),
     (
         re.compile(rf"(?<![^\W_]){_ES_TYPES}[ ]+(?:[^\W\d_][\w'’\-]*[ ]+){{0,4}}?[^\W\d_][\w'’\-]*,?[ ]+(?:(?:n[.ºo°]{{0,2}}|nr\.?|núm\.?|number)[ ]*)?{_NO}(?![\w/%]|[.,]\d)", re.I),
-        ("calle", "c/", "aven", "avda", "av.", "pla", "pza", "paseo", "pº", "camino", "carrera", "ronda", "trav", "via", "corso", "piazza", "vicolo", "largo", "strada", "ul", "al", "pl.", "os."),
+        re.compile(rf"(?<![^\W_]){_ES_TYPES}[ ]"),
     ),
 )
 
@@ -198,7 +198,7 @@ TITLES = frozenset("mr mrs ms miss mx sir dr prof herr herrn frau fr m mme mlle
 PARTICLES = frozenset("de del della di da dos van von der den la le du zu ten ter af av el y d' vom zum".split())
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _DIGITS = re.compile(r"\d+")
-BESIDE = 24  #: characters beside digits that a pattern of a number can take in or look at; without a digit in so many, none goes on
+BESIDE = 12  #: characters beside digits that a pattern of a number can take in or look at; without a digit in so many, none goes on
 _RESPECT = ("さん", "様", "氏", "先生")
 
 
@@ -341,7 +341,7 @@ def words_of(t: str) -> list[tuple[str, int, int]]:
     return [(m.group(0), m.start(), m.end()) for m in _WORD.finditer(t)]
 
 
-def _regions(t: str) -> list[tuple[int, int]]:
+def regions_of(t: str) -> list[tuple[int, int]]:
     """The parts of a text that numbers can lie in: digits with what patterns of numbers take in around them."""
     out: list[list[int]] = []
     for m in _DIGITS.finditer(t):
@@ -353,13 +353,22 @@ def _regions(t: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _at_numbers(pattern: re.Pattern, t: str) -> Iterator[re.Match]:
+    """The matches of a pattern that can begin at the first digit of a number only."""
+    end = 0
+    for d in _DIGITS.finditer(t):
+        if d.start() >= end and (m := pattern.match(t, d.start())):
+            yield m
+            end = m.end()
+
+
 def find_forms(t: str, names: NameModel, words: list[tuple[str, int, int]] | None = None) -> list[Form]:
     """Forms in a text in normal form; they do not overlap, except that an ambiguous number can have two readings.
 
     ``words`` are those of the text, if they are known.
     """
     words = words_of(t) if words is None else words
-    regions = _regions(t)
+    regions = regions_of(t)
     numbers = lambda pattern: (m for a, b in regions for m in pattern.finditer(t, a, b))
     out: list[Form] = []
     taken = bytearray(len(t))  # 1 where a character belongs to a form
@@ -379,11 +388,16 @@ def find_forms(t: str, names: NameModel, words: list[tuple[str, int, int]] | Non
         m = EMAIL.search(t, m.end())
     for m in _HANDLE.finditer(t):
         taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    for pattern, hints in ADDRESSES:
-        if regions and (hints is None or any(h in small for h in hints)):
-            for m in pattern.finditer(t):
-                if not _overlaps(taken, m.start(), m.end()):
-                    take(Form("address", m.start(), m.end(), True, _around(t, m.start(), m.end())))
+    for pattern, hints in ADDRESSES if regions else ():
+        if hints is None:  # such an address begins with its number
+            found = _at_numbers(pattern, t)
+        elif hints.search(small):
+            found = pattern.finditer(t)
+        else:
+            continue
+        for m in found:
+            if not _overlaps(taken, m.start(), m.end()):
+                take(Form("address", m.start(), m.end(), True, _around(t, m.start(), m.end())))
     for m in numbers(SURE_ID):
         if not _overlaps(taken, m.start(), m.end()):
             take(_number("id_number", t, m.start(), m.end(), True))
@@ -536,7 +550,7 @@ def read_forms(documents: DataFrame, known: list, brands: list) -> DataFrame:
                     rows.append((uid, f.kind, place[f.start], stop, f.sure, list(f.terms), 1))
                     if f.kind == "person_name":
                         counts["name"].update("=" + _flat(x) for x in _WORD.findall(t[f.start : f.end]) if len(x) > 2)
-                for m in THING.finditer(t):
+                for m in (m for a, b in regions_of(t) for m in THING.finditer(t, a, b)):
                     if _overlaps(covered, m.start(), m.end()):
                         continue  # what may be personal teaches nothing about things
                     counts["thing"].update((*_around(t, m.start(), m.end()), _shape(m.group(0))))
