@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ THRESHOLD = 0.0  #: sum of the log odds of its terms, and of its pattern, above
 SEED = 3.0  #: log odds of a form that by its pattern can hardly be anything else
 STRONGEST = 2.9  #: log odds of one term at most, either way, so that no single term outweighs a pattern
 AFTER = 0.3  #: weight of the terms behind a number against those before it, which name it more often
-LONGEST_NAME = 40  #: letters of a name word
+KEPT_COUNTS = 300_000  #: terms that a task counts before it hands them on
 BROADCAST_TERMS = 500_000  #: terms up to which their table is sent to all executors
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON]"}
 
@@ -229,6 +228,7 @@ class NameModel:
     def __init__(self, known: list[tuple[str, str]], brands: list[str], partners: int = 3):
         self.sets: dict[str, frozenset[str]] = {}
         self.parts: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
+        self.longest: dict[str, tuple[int, int]] = {}
         for kind in ("given", "family"):
             words = {w.lower() for w, k in known if w and k == kind}
             ends, stems = {}, {}
@@ -241,6 +241,8 @@ class NameModel:
             good_end = {e for e in good_end if len(ends[e] & good_stem) >= partners}
             self.sets[kind] = frozenset(_flat(w) for w in words)
             self.parts[kind] = (frozenset(good_stem), frozenset(good_end))
+            #: no word with more letters is made of a stem and an ending, even with letters doubled
+            self.longest[kind] = max(map(len, good_stem), default=0), max(map(len, good_end), default=0)
         parts = [[_flat(p) for p in b.split()] for b in brands if b]
         self.brands = frozenset((p[0], p[-1]) for p in parts if len(p) > 1)
         self._seen: dict[tuple[str, str], int] = {}
@@ -256,14 +258,13 @@ class NameModel:
         return got
 
     def _judge(self, word: str, kind: str) -> int:
-        if len(word) > LONGEST_NAME:
-            return 0
         w = word.lower()
         if _flat(w) in self.sets[kind]:
             return 2
         stems, ends = self.parts[kind]
+        stem, end = self.longest[kind]
         for form in {w, re.sub(r"(.)\1+", r"\1", w)}:
-            for i in range(2, len(form) - 1):
+            for i in range(max(2, len(form) - end), min(stem, len(form) - 2) + 1):
                 if form[:i] in stems and form[i:] in ends:
                     return 1
         return 0
@@ -271,7 +272,7 @@ class NameModel:
     def near(self, word: str, kind: str) -> bool:
         """One letter swapped, left out, put in or changed away from a name of the kind."""
         w = word.lower()
-        if not 5 <= len(w) <= LONGEST_NAME:
+        if not 5 <= len(w) <= sum(self.longest[kind]) + 1:
             return False
         for i in range(len(w)):
             if self.kind(w[:i] + w[i + 1 :], kind) or (i + 1 < len(w) and self.kind(w[:i] + w[i + 1] + w[i] + w[i + 2 :], kind)):
@@ -528,16 +529,30 @@ def read_forms(documents: DataFrame, known: list, brands: list) -> DataFrame:
 
     Rows of the kinds of ``PLACEHOLDERS`` are forms, with places in the original text. Rows without ``uid`` are evidence:
     ``thing``, the terms next to a number that is certainly given to a thing; ``name``, the words of a name;
-    ``seen``, a capitalised word and how often (``n``) the texts of a batch have it.
+    ``seen``, a capitalised word and how often (``n``) texts of a task have it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [c.split() for c in FORMS.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _model(known, brands)
+        counts: dict[str, Counter] = {"thing": Counter(), "name": Counter(), "seen": Counter()}
+
+        def evidence_rows() -> list[tuple]:
+            out = [(None, kind, None, None, True, [term], n) for kind, c in counts.items() for term, n in c.items()]
+            for c in counts.values():
+                c.clear()
+            return out
+
         for batch in batches:
             rows: list[tuple] = []
-            counts: dict[str, Counter] = {"thing": Counter(), "name": Counter(), "seen": Counter()}
             seen: Counter = Counter()
-            for uid, text in zip(batch["uid"], batch["text"]):
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
                 t, place = normal_form(text)
@@ -557,13 +572,14 @@ def read_forms(documents: DataFrame, known: list, brands: list) -> DataFrame:
                 seen.update(w for w, _, _ in words if w[0].isupper())
             for w, n in seen.items():
                 counts["seen"]["=" + _flat(w)] += n
-            for kind, c in counts.items():
-                rows += [(None, kind, None, None, True, [term], n) for term, n in c.items()]
+            if sum(map(len, counts.values())) > KEPT_COUNTS:
+                rows += evidence_rows()
             if rows:
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in FORMS.split(", ")])
-                yield out.astype({"uid": "Int64", "start": "Int64", "stop": "Int64"})
+                yield made(rows)
+        if rows := evidence_rows():
+            yield made(rows)
 
-    return documents.select("uid", "text").mapInPandas(run, FORMS)
+    return documents.select("uid", "text").mapInArrow(run, FORMS)
 
 
 KINDS = ("phone", "id_number", "email", "address", "thing", "name", "seen")

@@ -90,3 +90,17 @@ def p10_found(spark, d):
 @query
 def p10_sanitised(spark, d):
     return pii.sanitised(table(spark, d, "documents"), table(spark, d, "known_names"), table(spark, d, "items"))
+
+
+@query
+def p10_residue(spark, d):
+    """What replacement must keep and leave: all documents, null texts as they are, and no plain address of mail or number with its country code."""
+    r = pii.sanitised(table(spark, d, "documents"), table(spark, d, "known_names"), table(spark, d, "items"))
+    left = lambda pattern, name: F.count(F.when(F.col("text").rlike(pattern), 1)).alias(name)
+    return r.agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("text").isNull(), 1)).alias("null_texts"),
+        left(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", "mail_left"), left(r"\+[1-9][0-9]{0,2} [0-9]{2,4} [0-9]{3,}", "phones_left"),
+    )
+
+
+SQL["p10_residue"] = """SELECT count(*) AS documents, count(*) FILTER (text IS NULL) AS null_texts, CAST(0 AS BIGINT) AS mail_left, CAST(0 AS BIGINT) AS phones_left FROM documents"""
