@@ -104,22 +104,25 @@ class Ledger:
         """
         if self.runs():
             raise ValueError(f"{self.path} has runs already")
-        with storage.scope():
-            kept = storage.staged(held.where(F.col("seq").isNotNull()).select("seq", F.lit(None).cast("long").alias("entry_no"), F.lit(0).alias("run"), *self.content), "held")
-            empty = self._set("entries")
-            self._commit(0, kept.select("seq", *self.content), kept, intervals.of_numbers(kept, "seq"), empty)
+        rows = held.where(F.col("seq").isNotNull()).select("seq", F.lit(None).cast("long").alias("entry_no"), F.lit(0).alias("run"), *self.content)
+        empty = self._set("entries")
+        self._commit(0, rows.select("seq", *self.content).limit(0), rows, lambda kept: intervals.of_numbers(kept, "seq"), empty)
 
-    def _commit(self, number: int, data: DataFrame, held: DataFrame, processed: DataFrame, entries: DataFrame) -> DataFrame:
+    def _commit(self, number: int, data: DataFrame, held: DataFrame, processed: Callable[[DataFrame], DataFrame], entries: DataFrame) -> DataFrame:
+        """Write a run and publish it; ``processed`` gives the intervals from the written ``held``."""
         temporary = f"{self.path}/.open-{number}"
+        storage.delete(self.spark, temporary)
         data.write.parquet(f"{temporary}/data")
-        before = self.held()
+        before, name = self.held(), "held"
         if number % MERGE_RUNS == MERGE_RUNS - 1 and before is not None:
             both = before.unionByName(held)
             last = both.groupBy("seq").agg(F.max("run").alias("run"))
             both.join(last, ["seq", "run"], "left_semi").select(*held.columns).write.parquet(f"{temporary}/held-all")
+            name = "held-all"
         else:
             held.write.parquet(f"{temporary}/held")
-        processed.write.parquet(f"{temporary}/intervals")
+        mine = self.spark.read.parquet(f"{temporary}/{name}").where(F.col("run") == number)
+        processed(mine).write.parquet(f"{temporary}/intervals")
         entries.write.parquet(f"{temporary}/entries")
         storage.rename(self.spark, temporary, f"{self.path}/run-{number}")
         return self.spark.read.parquet(f"{self.path}/run-{number}/data")
@@ -132,25 +135,29 @@ class Ledger:
         if not self.runs():
             return wal
         seen = self._set("entries")
-        for lo, hi in intervals.longest(seen, SKIPS):
+        stretches = intervals.longest(seen, SKIPS)
+        if not stretches:
+            return wal
+        for lo, hi in stretches:
             wal = wal.where(F.col("entry_no").isNull() | (F.col("entry_no") < lo) | (F.col("entry_no") > hi))
         return intervals.rows_in(wal, "entry_no", seen, inside=False)
 
-    def _changed(self, latest: DataFrame, before: DataFrame, processed: DataFrame) -> DataFrame:
-        """``seq`` of the records whose number is processed, but not with their present content.
+    def _changed(self, latest: DataFrame, before: DataFrame) -> DataFrame:
+        """``seq`` of the records whose number is processed (and so is held), but not with their present content.
 
         An entry older than the one that was processed changes nothing. Only the contents in the span of these numbers are read.
         """
-        known = storage.staged(intervals.rows_in(latest.select("seq", "entry_no", *self.content), "seq", processed), "known")
-        lo, hi = known.agg(F.min("seq"), F.max("seq")).first()
+        lo, hi = latest.agg(F.min("seq"), F.max("seq")).first()
         if lo is None:
-            return known.select("seq")
-        was = before.where(F.col("seq").between(lo, hi)).select(F.col("seq"), F.col("run"), F.col("entry_no").alias("was_no"), *[F.col(c).alias(f"was_{c}") for c in self.content])
+            return latest.select("seq")
+        was = before.where(F.col("seq").between(lo, hi)).select("seq", "run", F.col("entry_no").alias("was_no"), *[F.col(c).alias(f"was_{c}") for c in self.content])
         same = F.lit(True)
         for c in self.content:
             same = same & F.col(c).eqNullSafe(F.col(f"was_{c}"))
         stale = F.coalesce(F.col("was_no") > F.col("entry_no"), F.lit(False))
-        judged = known.join(was, "seq", "left").groupBy("seq").agg(F.max(F.struct(F.coalesce("run", F.lit(-1)).alias("run"), (same | stale).alias("same"))).alias("last"))
+        # of the contents that a number was processed with, those of the last run that had it count
+        judged = latest.select("seq", "entry_no", *self.content).join(was, "seq")
+        judged = judged.groupBy("seq").agg(F.max(F.struct("run", (same | stale).alias("same"))).alias("last"))
         return judged.where(~F.col("last.same")).select("seq")
 
     def run(self, wal: DataFrame, process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -167,12 +174,12 @@ class Ledger:
             number = max(self.runs(), default=-1) + 1
             processed, before, rows = self.processed(), self.held(), self.unseen(wal)
             latest = storage.staged(latest_inserts(rows), "latest")
-            available, still = intervals.of_numbers(latest, "seq"), processed
+            available, still = intervals.of_numbers(latest, "seq", unique=True), processed
             if before is not None:
-                still = intervals.subtract(processed, intervals.of_numbers(self._changed(latest, before, processed), "seq"))
+                still = intervals.subtract(processed, intervals.of_numbers(self._changed(latest, before), "seq", unique=True))
             gaps = intervals.subtract(available, still)
             todo = storage.staged(intervals.rows_in(latest, "seq", gaps), "todo")
             held = todo.select("seq", "entry_no", F.lit(number).alias("run"), *self.content)
-            merged = intervals.union(processed, intervals.of_numbers(todo, "seq"))
+            merged = lambda mine: intervals.union(processed, intervals.of_numbers(mine, "seq", unique=True))
             entries = intervals.union(self._set("entries"), intervals.of_numbers(rows.select("entry_no"), "entry_no"))
             return self._commit(number, process(todo) if process else todo, held, merged, entries)

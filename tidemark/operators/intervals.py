@@ -16,9 +16,10 @@ BLOCK = 1 << 16
 SUPER = 1 << 12  #: blocks over which ``longest`` joins neighbouring intervals
 
 
-def of_numbers(numbers: DataFrame, column: str) -> DataFrame:
-    """The set of the numbers in a column; nulls are no numbers, repeats count once."""
-    n = numbers.where(F.col(column).isNotNull()).select(F.col(column).alias("n")).distinct()
+def of_numbers(numbers: DataFrame, column: str, unique: bool = False) -> DataFrame:
+    """The set of the numbers in a column; nulls are no numbers, repeats count once. ``unique`` says that there are no repeats."""
+    n = numbers.where(F.col(column).isNotNull()).select(F.col(column).alias("n"))
+    n = n if unique else n.distinct()
     n = n.withColumn("block", floor_div(F.col("n"), BLOCK))
     rank = F.row_number().over(Window.partitionBy("block").orderBy("n"))
     n = n.withColumn("island", F.col("n") - rank)
