@@ -148,17 +148,22 @@ class LambdaHours:
         part = self.log if to_seq is None else self.log.where(F.col("seq") < to_seq)
         return part if from_seq is None else part.where(F.col("seq") >= from_seq)
 
-    def _views(self, rows: DataFrame, floor: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame | None]:
-        """Hourly aggregates of rows and, if they are kept, the late ones (``series, hour, seq``); the cut-off is computed once."""
+    def _views(self, rows: DataFrame, floor: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        """Hourly aggregates of rows, the late ones (``series, hour, seq``) if they are kept, and the greatest time of each series.
+
+        The cut-off is computed once; if late rows are kept, all three come from its staged result.
+        """
         marked = with_cutoff(rows, self.catalog, floor)
         if not self.keep_late:
-            return storage.staged(hourly(marked), name), None
+            return storage.staged(hourly(marked), name), None, self._greatest_times(rows)
         marked = storage.staged(marked, "marked")
-        return storage.staged(hourly(marked), name), storage.staged(marked.where("late").select("series", "hour", "seq").distinct(), "late")
+        late = storage.staged(marked.where("late").select("series", "hour", "seq").distinct(), "late")
+        return storage.staged(hourly(marked), name), late, marked.groupBy("series").agg(F.max("ts").alias("seen"))
 
-    def _step(self, from_seq: int | None, to_seq: int, floor: DataFrame | None) -> tuple[int | None, int, DataFrame, DataFrame | None]:
-        view, late = self._views(self._part(from_seq, to_seq), floor, "fast")
-        return from_seq, to_seq, storage.keep(view), None if late is None else storage.keep(late)
+    def _step(self, from_seq: int | None, to_seq: int, floor: DataFrame | None) -> tuple[tuple[int | None, int, DataFrame, DataFrame | None], DataFrame]:
+        """A fast step, and the greatest times of its records."""
+        view, late, seen = self._views(self._part(from_seq, to_seq), floor, "fast")
+        return (from_seq, to_seq, storage.keep(view), None if late is None else storage.keep(late)), seen
 
     def _drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
@@ -168,9 +173,8 @@ class LambdaHours:
     def fast(self, to_seq: int) -> None:
         """Provisional increments of the records that arrived since the last step and before ``to_seq``."""
         with storage.scope():
-            step = self._step(self.next_seq, to_seq, self.seen)
-            seen = self._greatest(self.seen, self._greatest_times(self._part(self.next_seq, to_seq)))
-            seen = storage.keep(storage.staged(seen, "seen"))
+            step, seen = self._step(self.next_seq, to_seq, self.seen)
+            seen = storage.keep(storage.staged(self._greatest(self.seen, seen), "seen"))
         old = self.seen
         self.seen, self.fast_steps, self.next_seq = seen, [*self.fast_steps, step], to_seq
         self._drop(old)
@@ -182,7 +186,7 @@ class LambdaHours:
             later = [] if to_seq is None else [s for s in self.fast_steps if s[1] > to_seq]
             # of a step that the batch reaches into, only the rest is kept
             cut = [s for s in later if s[0] is None or s[0] < to_seq]
-            later = [self._step(to_seq, s[1], bounds) if s in cut else s for s in later]
+            later = [self._step(to_seq, s[1], bounds)[0] if s in cut else s for s in later]
         gone = [self.batch_view, self.batch_late, self.frozen_to]
         gone += [t for s in self.fast_steps if s not in later for t in s[2:]]
         self.batch_view, self.batch_late, self.frozen_to, self.batch_to, self.fast_steps = view, late, bounds, to_seq, later
@@ -194,18 +198,18 @@ class LambdaHours:
     def _batch(self, to_seq: int | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
         log = self._part(None, to_seq)
         again = self.frozen_to is not None and self.batch_to is not None and (to_seq is None or to_seq >= self.batch_to)
-        arrived = self._part(self.batch_to, to_seq) if again else log
-        seen = self._greatest(self.frozen_to if again else None, self._greatest_times(arrived))
+        # a record of a frozen hour is not the latest of its series, so open rows and the bounds of the last batch tell the greatest times
+        rows = _open_rows(log, self.frozen_to.select("series", "frozen_to"), self.batch_to) if again else log
+        view, late, seen = self._views(rows, None, "hours")
+        seen = self._greatest(self.frozen_to if again else None, seen)
         bounds = seen.join(lateness(self.catalog), "series", "left").select(
             "series", "seen", (F.col("seen") - F.coalesce("late_ns", F.lit(0))).alias("frozen_to")
         )
         bounds = storage.keep(storage.staged(bounds, "bounds"))
         ends = (F.col("hour") + 1) * NS_PER_HOUR
-        if not again:
-            view, late = self._views(log, None, "hours")
-        else:
+        if again:
             was = self.frozen_to.select("series", F.col("frozen_to").alias("was"))
-            view, late = self._views(_open_rows(log, self.frozen_to.select("series", "frozen_to"), self.batch_to), None, "hours")
+            arrived = self._part(self.batch_to, to_seq)
             # what has arrived since for an hour that was frozen is late, whatever else it is
             missed = clean_points(arrived).where(F.col("seq").isNotNull()).withColumn("hour", floor_div(F.col("ts"), NS_PER_HOUR))
             missed = storage.staged(missed.join(was, "series").where(ends <= F.col("was")).select("series", "hour", "seq", "ts", "value").distinct(), "missed")
