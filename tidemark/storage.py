@@ -131,10 +131,17 @@ def drop(staged_df: DataFrame) -> None:
 
 @atexit.register
 def clear() -> None:
-    """Delete all staged tables of this process; results that still read them can then not be computed again."""
+    """Delete all staged tables of this process; results that still read them can then not be computed again.
+
+    Without a session, which may have been stopped before, only folders that this machine sees can be deleted.
+    """
+    gone = False
     while _staged:
         spark, path = _staged.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # the session may be gone; then the shared folder's owner clears it
-            break
+        if not gone:
+            try:
+                delete(spark, path)
+                continue
+            except Exception:
+                gone = True
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
