@@ -321,7 +321,8 @@ class Engine:
         """The points of ``query`` as a list in order of time, for results that fit the driver. Damaged files raise ``Corruption``."""
         rows = self.query(series, start, end, tags)
         with reported(self.spark, "segments", [f"{s.path}/points" for s in self.manifest.segments]):
-            return [tuple(r) for r in rows.orderBy("ts").collect()]
+            table = rows.toArrow()
+        return sorted(zip(table.column("ts").to_pylist(), table.column("value").to_pylist()), key=lambda r: r[0])
 
     def verify(self) -> None:
         """Read all pages of all live segments, the log and the newest snapshot; the first damaged file raises ``Corruption``."""
