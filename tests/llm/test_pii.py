@@ -202,3 +202,12 @@ def test_numbers_far_from_each_other(text):
     for p in (pii.SURE_ID, pii.SURE_PHONE, pii.MAYBE_ID, pii.MAYBE_PHONE, pii.THING):
         whole = [m.span() for m in p.finditer(t)]
         assert [m.span() for a, b in pii.regions_of(t) for m in p.finditer(t, a, b)] == whole
+
+
+def test_spelled_addresses_with_rare_endings(spark):
+    """The corpus decides on an address whose "at" is spelled and whose ending is on no list."""
+    rows = [(i, f"Please mail me: velen{i}@box.invalid now") for i in range(30)]
+    rows += [(100, "Please mail me: anna at firma dot ch now"), (101, "It had arrived at that point we were glad"), (102, "Order no. X0123456789 at shop dot ch is late")]
+    rows += [(200 + i, f"Order no. X{i:010d} at the shop took 8 days") for i in range(30)]
+    got = {(r["doc_id"], r["pii_kind"], r["start_pos"]) for r in pii.found(*tables(spark, rows)).collect()}
+    assert got == {(i, "email", 16) for i in (*range(30), 100)}

@@ -381,11 +381,13 @@ def find_forms(t: str, names: NameModel, words: list[tuple[str, int, int]] | Non
     small = t.lower().replace("i\u0307", "i").replace("ı", "i")  # as patterns that ignore case see it
     m = EMAIL.search(t) if "@" in t or _AT_HINT.search(small) else None
     while m:
+        terms = (*_around(t, m.start(1), m.end(3)), "@" + m.group(4).lower())
         spelled = "@" not in m.group(2) and not re.search(r"[(\[{]", m.group(2))
         if spelled and m.group(4).lower() not in _DOMAINS:
-            m = EMAIL.search(t, m.end(2))  # an "at" of the sentence; the address may begin behind it
+            out.append(Form("email", m.start(1), m.end(3), False, terms))
+            m = EMAIL.search(t, m.end(2))  # it may be an "at" of the sentence, and the address begin behind it
             continue
-        take(Form("email", m.start(1), m.end(3), True, (*_around(t, m.start(1), m.end(3)), "@" + m.group(4).lower())))
+        take(Form("email", m.start(1), m.end(3), True, terms))
         m = EMAIL.search(t, m.end())
     for m in _HANDLE.finditer(t):
         taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
