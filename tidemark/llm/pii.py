@@ -245,16 +245,16 @@ class NameModel:
             self.longest[kind] = max(map(len, good_stem), default=0), max(map(len, good_end), default=0)
         parts = [[_flat(p) for p in b.split()] for b in brands if b]
         self.brands = frozenset((p[0], p[-1]) for p in parts if len(p) > 1)
-        self._seen: dict[tuple[str, str], int] = {}
+        self._seen: dict[str, dict[str, int]] = {"given": {}, "family": {}}
 
     def kind(self, word: str, kind: str) -> int:
         """2 if the word is known as a name of the kind, 1 if it is made like one, else 0."""
-        key = (word, kind)
-        got = self._seen.get(key)
+        seen = self._seen[kind]
+        got = seen.get(word)
         if got is None:
-            if len(self._seen) > 300_000:
-                self._seen.clear()
-            got = self._seen[key] = self._judge(word, kind)
+            if len(seen) > 150_000:
+                seen.clear()
+            got = seen[word] = self._judge(word, kind)
         return got
 
     def _judge(self, word: str, kind: str) -> int:
@@ -439,6 +439,10 @@ def _is_french(words: list[tuple[str, int, int]]) -> bool:
     return n >= 2 and n * 15 >= len(words)
 
 
+_BLANKS = frozenset((" ", "  ", "   "))  #: what may stand between the words of a name
+_STOPS = frozenset((".", ". ", ".  ", ".   "))
+
+
 def _find_names(t: str, names: NameModel, words: list[tuple[str, int, int]]) -> list[Form]:
     """Family names with a given name, an initial or a form of address."""
     out: list[Form] = []
@@ -465,7 +469,7 @@ def _find_names(t: str, names: NameModel, words: list[tuple[str, int, int]]) ->
         gap = t[words[j][2] : start] if j >= 0 else ""
         lead = words[j][0] if j >= 0 else ""
         form = None
-        if j >= 0 and re.fullmatch(r"[ ]{1,3}", gap):
+        if j >= 0 and gap in _BLANKS:
             g = given(lead)
             if g and (f or lead[0].isupper()):
                 form = (words[j][1], g, lead)
@@ -473,15 +477,15 @@ def _find_names(t: str, names: NameModel, words: list[tuple[str, int, int]]) ->
                 form = (words[j][1], 1, lead)
             elif lead.lower() in TITLES and f:
                 form = (with_particle, 2, "")
-        elif j >= 0 and re.fullmatch(r"\.[ ]{0,3}", gap) and len(lead) == 1 and f:
+        elif j >= 0 and gap in _STOPS and len(lead) == 1 and f:
             k = j - 1
-            if k >= 0 and re.fullmatch(r"[ ]{1,3}", t[words[k][2] : words[j][1]]) and given(words[k][0]):
+            if k >= 0 and t[words[k][2] : words[j][1]] in _BLANKS and given(words[k][0]):
                 form = (words[k][1], given(words[k][0]), words[k][0])
             elif lead.lower() == "m" and (french := _is_french(words) if french is None else french):
                 form = (with_particle, 2, "")
             else:
                 form = (words[j][1], 2, "")
-        elif j >= 0 and re.fullmatch(r"\.[ ]{1,3}", gap) and lead.lower() in TITLES and f:
+        elif j >= 0 and gap in _STOPS and gap != "." and lead.lower() in TITLES and f:
             form = (with_particle, 2, "")
         if form is None and f:
             # family name, given name or initial; or a form of address behind it
